@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, merkle, pii, secret_ledger, urls
+from . import bpe, decontam, langid, merkle, pii, secret_ledger, suffixes, urls
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_urls": op4_urls,
     "op5_decontam": op5_decontam,
+    "op6_suffixes": op6_suffixes,
     "op8_langid": op8_langid,
     "op10_merkle": op10_merkle,
 }
