@@ -7,7 +7,9 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,3 +48,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 <
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def numbered(docs: DataFrame, key: str, text: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """(id long, key, text string, null as empty). The key itself is the id where it is a whole number, unique and never null."""
+    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *also)
+    if src.schema["key"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        bad = src.groupBy("key").count().where("key is null or count > 1").limit(1).count()
+        if not bad:
+            return src.select(F.col("key").cast("long").alias("id"), "key", "text", *also)
+    return stash(src.select(F.monotonically_increasing_id().alias("id"), "key", "text", *also))

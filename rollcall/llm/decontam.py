@@ -27,56 +27,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .words import SHINGLE, WORD, Words, shingles
 
-#: Words of a shingle, least similarity, greatest Hamming distance, blocks of a fingerprint.
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 23, 8
-#: Words of a block of items at most; words whose hashes a worker keeps.
-ITEM_WORDS, KNOWN_WORDS = 500_000, 200_000
-WORD = regex.compile(r"\w+")
-MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Words:
-    """64-bit numbers of words and shingles."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def numbers(self, text: str) -> np.ndarray:
-        words = WORD.findall(text.lower())
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        known = self.known
-        try:
-            return np.array([known[w] for w in words], np.uint64)
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode())
-            return np.array([known[w] for w in words], np.uint64)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
-    """The numbers of all shingles of `size` words, in order."""
-    n = len(words) - size + 1
-    if n <= 0:
-        return words[:0]
-    out = words[:n].copy()
-    for k in range(1, size):
-        out *= MIX
-        out += words[k : k + n]
-    return mixed(out)
+#: Least similarity, greatest Hamming distance, blocks of a fingerprint.
+SIMILARITY, RADIUS, BLOCKS = 0.8, 23, 8
+#: Words of a block of items at most.
+ITEM_WORDS = 500_000
 
 
 def signs(x: np.ndarray) -> np.ndarray:

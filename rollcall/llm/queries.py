@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, merkle, pii, secret_ledger, suffixes, urls
+from . import bpe, decontam, langid, merkle, order_minhash, pii, secret_ledger, suffixes, urls
 from .common import table
 
 
@@ -40,6 +40,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.report(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_urls": op4_urls,
     "op5_decontam": op5_decontam,
     "op6_suffixes": op6_suffixes,
+    "op7_near_duplicates": op7_near_duplicates,
     "op8_langid": op8_langid,
     "op10_merkle": op10_merkle,
 }

@@ -32,7 +32,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash
+from .common import numbered, slices, stash
+from .words import mixed
 
 #: Bytes of a window and of a gram.
 WINDOW, GRAM = 200, 64
@@ -43,12 +44,6 @@ BASE = 0x9E3779B97F4A7C15 | 1
 LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
 class Powers:
     """BASE and its inverse modulo 2**64, to the powers 0, 1, 2, ..."""
 
@@ -198,16 +193,6 @@ def repeated(docs: DataFrame) -> DataFrame:
     )
 
 
-def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(id long, key, text binary). The key itself is the id where it is a whole number, unique and never null."""
-    src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    if src.schema["key"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        bad = src.groupBy("key").count().where("key is null or count > 1").limit(1).count()
-        if not bad:
-            return src.select(F.col("key").cast("long").alias("id"), "key", "text")
-    return stash(src.select(F.monotonically_increasing_id().alias("id"), "key", "text"))
-
-
 def covered(spots: list[dict] | None, size: int) -> list[tuple[int, int]]:
     """The maximal runs of bytes under the windows."""
     out: list[tuple[int, int]] = []
@@ -225,7 +210,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     spans are the maximal runs of removed bytes, from which a caller can cut the text.
     """
-    rows = numbered(docs, key, text)
+    rows = numbered(docs, key, text).withColumn("text", F.col("text").cast("binary"))
     spots = repeated(rows.select("id", "text")).groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spots"))
     both = rows.join(stash(spots), "id", "left").select("key", "text", "spots")
     kind = rows.schema["key"].dataType.simpleString()
