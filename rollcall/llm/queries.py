@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, merkle, order_minhash, pii, secret_ledger, suffixes, urls
+from . import bpe, decontam, langid, merkle, order_minhash, pii, pitman_yor, secret_ledger, suffixes, urls
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(table(spark, sf_dir, "documents"))
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.report(table(spark, sf_dir, "documents"))
+
+
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffixes": op6_suffixes,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_langid": op8_langid,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_merkle": op10_merkle,
 }
 
