@@ -174,27 +174,28 @@ def decode(encoded: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids"
     return src.mapInArrow(run, f"key {kind}, text string").select(F.col("key").alias(key), F.col("text"))
 
 
-def digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode the ids again, and return (key, n_tokens, ids_sha256, decoded_sha256).
 
-    Both directions run in one pass over a batch, so the ids, several times the text, never leave the worker.
+    Both directions run in one pass over a batch, so the ids, several times the text, only leave the worker if asked
+    for: with_ids adds ids array<int>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab)
         for b in slices(batches, "text"):
             ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("key"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
-                ["key", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                b.column("key"),
+                pa.array([len(x) // 4 for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    out = src.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("key", key)
+    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return src.mapInArrow(run, schema).withColumnRenamed("key", key)
