@@ -4,41 +4,66 @@ A language's profile is its PROFILE most frequent letter n-grams (1 to LONGEST l
 both sides) in order of frequency over all labelled training texts. A document is ranked the same way, and its distance
 to a language is the sum over its n-grams of how far out of place each is there, PROFILE for those that are missing.
 
-Training counts n-grams within Arrow batches (distinct words first, then their n-grams), adds them up by language and
-n-gram, and keeps each language's first PROFILE; only these, PROFILE rows a language, reach the driver and the workers.
-All whole texts take part in training and in prediction.
+N-grams are numbers (up to three code points of 21 bits), counted by sorting, so no dictionary grows with the text.
+Training adds up the counts of a partition, then of all by language and n-gram, and keeps each language's first PROFILE;
+only these, PROFILE rows a language, reach the driver and the workers. All whole texts take part in training and in
+prediction.
 
 Defined results: a text that is null or has no letter, or any text when no language was learned, is `und` with score 0;
-ties between languages go to the name that sorts first, ties between n-grams to a fixed hash; a null key is never held
+ties between languages go to the name that sorts first, ties between n-grams to the shorter, then the lower code
+points; a null key is never held
 out; repeated rows give repeated results; an empty table gives an empty one; other columns don't take part.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices
 
-#: N-grams of a profile, letters of the longest n-gram.
-PROFILE, LONGEST = 400, 3
-#: Distinct words that training holds before it turns them into n-grams; n-grams and words that a worker keeps at hand.
-HELD_WORDS, KNOWN_GRAMS, KNOWN_WORDS, WORD_LENGTH = 200_000, 100_000, 100_000, 40
-WORD = regex.compile(r"\p{L}+")
+#: N-grams of a profile (they have one to three letters), bits of a letter in an n-gram's number.
+PROFILE, BITS = 400, 21
 
 
-def grams(word: str) -> list[str]:
-    """All n-grams of a word padded with spaces, but for the space by itself."""
-    w = f" {word} "
-    return [w[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1) if n > 1 or w[i] != " "]
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)])
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The numbers of all n-grams of a text's words, each padded with a space on both sides, but for the space by itself."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.concatenate([[32], points, [32]]).astype(np.int64)
+    good = letters()[points]
+    keep = good.copy()
+    keep[1:] |= good[:-1]  # one space after a word
+    keep[0] = True
+    points = np.where(good, points, 32)[keep]
+    one = points[points != 32]
+    two = points[:-1] << BITS | points[1:]
+    three = points[:-2] << 2 * BITS | two[1:]
+    return np.concatenate([one, two, three[points[1:-1] != 32]]) if len(one) else one
+
+
+def counted(x: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and how often each occurs (or the sums of n)."""
+    if n is None:
+        x = np.sort(x)
+        edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else [])
+        return x[edge], np.diff(np.append(edge, len(x)))
+    order = np.argsort(x, kind="stable")
+    x, n = x[order], n[order]
+    edge = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else [])
+    return x[edge], np.add.reduceat(n, edge) if len(edge) else n
 
 
 def held_out(key: str):
@@ -49,89 +74,49 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     """(lang, gram, place) of the labelled docs: each language's first PROFILE n-grams, place from 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-
-        def counted() -> Iterator[pa.RecordBatch]:
-            for name, own in words.items():
-                total: Counter = Counter()
-                for w, n in own.items():
-                    for g in grams(w):
-                        total[g] += n
-                for part in np.array_split(np.arange(len(total)), len(total) // 100_000 + 1):
-                    keys, values = list(total), list(total.values())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part), pa.string()), pa.array([keys[i] for i in part], pa.string()), pa.array([values[i] for i in part], pa.int64())],
-                        ["lang", "gram", "n"],
-                    )
-            words.clear()
-
-        for b in slices(batches, "text"):
+        total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in slices(batches, "text", 4 << 20):
+            parts: dict[str, list[str]] = {}
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                words.setdefault(name, Counter()).update(WORD.findall(t.lower()))
-            if sum(map(len, words.values())) > HELD_WORDS:
-                yield from counted()
-        yield from counted()
+                parts.setdefault(name, []).append(t)
+            for name, own in parts.items():
+                new = counted(grams("\n".join(own)))
+                if name in total:
+                    new = counted(*(np.concatenate(x) for x in zip(total[name], new)))
+                total[name] = new
+        for name, (x, n) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = known.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.crc32("gram"), "gram")
+    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < PROFILE).select("lang", "gram", "place")
 
 
 class Ranker:
-    """Distances of texts to profiles; n-grams get numbers as they come up in a worker."""
+    """Distances of texts to profiles."""
 
-    def __init__(self, rows: list[tuple[str, str, int]]):
+    def __init__(self, rows: list[tuple[str, int, int]]):
         self.langs = sorted({r[0] for r in rows})
+        self.known = np.array(sorted({r[1] for r in rows}), np.int64)
+        self.places = np.full((len(self.known) + 1, len(self.langs)), -1, np.int64)  # the last row: n-grams of no profile
         number = {name: i for i, name in enumerate(self.langs)}
-        self.place: dict[str, np.ndarray] = {}
         for name, gram, place in rows:
-            self.place.setdefault(gram, np.full(len(self.langs), -1, np.int32))[number[name]] = place
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.ties = np.zeros(1024, np.int64)
-        self.places = np.full((1024, len(self.langs)), -1, np.int32)
-
-    def numbered(self, word: str) -> np.ndarray:
-        out = self.words.get(word)
-        if out is None:
-            out = np.fromiter((self.number_of(g) for g in grams(word)), np.int64)
-            if len(word) <= WORD_LENGTH and len(self.words) < KNOWN_WORDS:
-                self.words[word] = out
-        return out
-
-    def number_of(self, gram: str) -> int:
-        i = self.number.get(gram)
-        if i is None:
-            i = self.number[gram] = len(self.number)
-            if i >= len(self.ties):
-                self.ties = np.concatenate([self.ties, np.zeros_like(self.ties)])
-                self.places = np.concatenate([self.places, np.full_like(self.places, -1)])
-            self.ties[i] = zlib.crc32(gram.encode())
-            if gram in self.place:
-                self.places[i] = self.place[gram]
-        return i
+            self.places[np.searchsorted(self.known, gram), number[name]] = place
 
     def judge(self, text: str | None) -> tuple[str, float]:
-        words = Counter(WORD.findall((text or "").lower()))
-        if not words or not self.langs:
+        x, n = counted(grams(text))
+        if not len(x) or not self.langs:
             return "und", 0.0
-        if len(self.number) > KNOWN_GRAMS or len(self.words) >= KNOWN_WORDS:
-            self.forget()
-        own = [self.numbered(w) for w in words]
-        counts = np.bincount(np.concatenate(own), np.repeat(np.fromiter(words.values(), np.float64), [len(x) for x in own]))
-        seen = np.flatnonzero(counts)
-        if len(seen) > PROFILE:
-            least = np.partition(counts[seen], len(seen) - PROFILE)[len(seen) - PROFILE]
-            seen = seen[counts[seen] >= least]
-        seen = seen[np.lexsort((self.ties[seen], -counts[seen]))][:PROFILE]
-        places = self.places[seen]
-        away = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(seen))[:, None])).sum(axis=0)
+        if len(x) > PROFILE:
+            least = np.partition(n, len(n) - PROFILE)[len(n) - PROFILE]
+            x, n = x[n >= least], n[n >= least]
+        x = x[np.argsort(-n, kind="stable")][:PROFILE]
+        at = np.minimum(np.searchsorted(self.known, x), len(self.known) - 1)
+        places = self.places[np.where(self.known[at] == x, at, len(self.known))]
+        away = np.where(places < 0, PROFILE, np.abs(places - np.arange(len(x))[:, None])).sum(axis=0)
         best = int(np.argmin(away))
-        return self.langs[best], float(1 - away[best] / (PROFILE * len(seen)))
+        return self.langs[best], float(1 - away[best] / (PROFILE * len(x)))
 
 
 def predict(docs: DataFrame, profile: DataFrame, text: str = "text") -> DataFrame:

@@ -10,16 +10,20 @@ from rollcall.llm import langid
 SF = "/root/testdata/sf0.001/documents.parquet"
 
 
+def number(gram):
+    return sum(ord(c) << 21 * (len(gram) - 1 - i) for i, c in enumerate(gram))
+
+
 def ranked(counter, places):
-    order = sorted(counter, key=lambda g: (-counter[g], zlib.crc32(g.encode()), g))
-    return order[:places]
+    return sorted(counter, key=lambda g: (-counter[g], number(g)))[:places]
 
 
 def counted(text):
     c = Counter()
     for w in regex.findall(r"\p{L}+", (text or "").lower()):
-        for g in langid.grams(w):
-            c[g] += 1
+        w = f" {w} "
+        c.update(w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    del c[" "]
     return c
 
 
