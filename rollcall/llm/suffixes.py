@@ -9,13 +9,16 @@ of such a window is removed. Passes go from the most significant digit down, and
    instead of one row a suffix. Groups of one leave here.
 2. Digit two is the run's whole reach, from its first window's first byte to its last window's last. If all rows of a
    gram agree on it, or two do, all their windows are repeated.
-3. Only the runs left, at the ends of repeated passages, are opened into single windows, and the last digit is the
-   window itself.
+3. The runs left, at the ends of repeated passages, are cut into bins of BIN neighbouring windows, by the windows' offsets
+   from the gram, so that equal windows are in equal bins. A bin's digit is its core, the bytes that all windows with these
+   offsets share: bins that are alone have no repeated window and leave; if all of a group agree on their reach, all their
+   windows are repeated.
+4. Only the bins left, where a repeated passage ends, are opened into single windows: the last digit is the window itself.
 
-Digits are 64-bit digests, and the passes compare two of them (gram and reach, gram and window) for each window.
+Digits are 64-bit digests, and the passes compare two of them (the gram's and the reach's, core's or window's) for each window.
 
 Shuffles hold rows of a few numbers; hot groups are counted by partial aggregates or joined by plain equi-joins, whose
-skewed partitions Spark splits. Texts are shuffled by key to open runs and to cut the removed bytes out.
+skewed partitions Spark splits. Texts are shuffled by key to cut runs into bins and to cut the removed bytes out.
 
 Defined results: a null text counts as empty; texts shorter than WINDOW keep everything; rows that repeat, or share a key,
 are documents of their own; an empty table gives an empty one; other columns don't take part.
@@ -35,10 +38,10 @@ from pyspark.sql import functions as F
 from .common import numbered, slices, stash
 from .words import mixed
 
-#: Bytes of a window and of a gram.
-WINDOW, GRAM = 200, 64
+#: Bytes of a window and of a gram, windows of a bin.
+WINDOW, GRAM, BIN = 200, 40, 8
 #: Bytes that are digested at a time; longer texts go in pieces that share all but one byte of a window.
-PIECE = 4 << 20
+PIECE = 1 << 17
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 LETTERS = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -89,10 +92,11 @@ def lowest(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text, first start, windows, gram digest, reach digest) of the runs of windows with one gram; PIECE bytes or less."""
+    """(text, first start, windows, offset of the gram in the first, gram digest, reach digest) of the runs of windows with
+    one gram."""
     data = b"".join(texts)
     if len(data) < WINDOW:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     d = Digests(data)
     gram = d.all(GRAM)
     low = U((1 << 24) - 1)
@@ -100,17 +104,17 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     starts = np.arange(len(first))
-    text = np.searchsorted(ends, starts, side="right")
-    good = starts + WINDOW <= ends[np.minimum(text, len(ends) - 1)]
+    text = np.repeat(np.arange(len(texts)), sizes)[: len(first)]
+    good = starts + WINDOW <= ends[text]
     starts, text, first = starts[good], text[good], first[good]
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
     new = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(np.concatenate([new, [len(starts)]]))
     q, p, own = starts[new], first[new], text[new]
     shape = mixed(((p - q).astype(U) << U(32)) | count.astype(U))
     reach = mixed(d.at(q, q + count + WINDOW - 1) ^ shape)
-    return own, q - (ends - sizes)[own], count, gram[p], reach
+    return own, q - (ends - sizes)[own], count, p - q, gram[p], reach
 
 
 def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -135,61 +139,82 @@ def texts_of(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(gram, reach, id, at, n) of every run of docs (id long, text binary): n windows from byte `at` on."""
+    """(gram, reach, id, at, n, off) of every run of docs (id long, text binary): n windows from byte `at` on, in the first of
+    which the gram is `off` bytes in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             ids = np.array(b.column("id").to_pylist(), np.int64)
             for which, offsets, parts in pieces(texts_of(b)):
-                own, q, n, gram, reach = runs(parts)
+                own, q, n, off, gram, reach = runs(parts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (gram.view(np.int64), reach.view(np.int64), ids[np.array(which)[own]], np.array(offsets)[own] + q, n.astype(np.int16))],
-                    ["gram", "reach", "id", "at", "n"],
+                    [pa.array(x) for x in (gram.view(np.int64), reach.view(np.int64), ids[np.array(which)[own]], np.array(offsets)[own] + q, n.astype(np.int16), off.astype(np.int16))],
+                    ["gram", "reach", "id", "at", "n", "off"],
                 )
 
-    return docs.mapInArrow(run, "gram long, reach long, id long, at long, n smallint")
-
-
-def opened(wanted: DataFrame) -> DataFrame:
-    """(gram, window, id, at) of every window of the runs that each text (id, text, runs) lists."""
+    return docs.mapInArrow(run, "gram long, reach long, id long, at long, n smallint, off smallint")
+
+
+def binned(wanted: DataFrame) -> DataFrame:
+    """(gram, core, reach, id, at, n, windows) of the bins of the runs that each text (id, text, runs) lists; windows are
+    the digests of a bin's n windows."""
+
+    def cut(t: bytes, lo: int, gram: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray) -> list[pa.Array]:
+        d = Digests(t[lo : lo + PIECE + 2 * WINDOW])
+        run = np.repeat(np.arange(len(at)), n)
+        step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        q, offset = at[run] - lo + step, off[run] - step
+        place = offset // BIN
+        new = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (place[1:] != place[:-1])]))
+        size = np.diff(np.append(new, len(run)))
+        q0, place0, offset0 = q[new], place[new], offset[new]
+        p = q0 + offset0
+        least, most = place0 * BIN, np.minimum(place0 * BIN + BIN - 1, WINDOW - GRAM)
+        core = mixed(d.at(p - least, p - most + WINDOW) ^ mixed(place0.astype(U)))
+        reach = mixed(d.at(q0, q0 + size + WINDOW - 1) ^ mixed((offset0.astype(U) << U(32)) | size.astype(U)))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(new, len(run)).astype(np.int32)), pa.array(d.at(q, q + WINDOW).view(np.int64)))
+        return [pa.array(gram[run[new]]), pa.array(core.view(np.int64)), pa.array(reach.view(np.int64)), pa.array(q0 + lo), pa.array(size.astype(np.int16)), lists]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 20):
             for i, t, own in zip(b.column("id").to_pylist(), texts_of(b), b.column("runs").to_pylist()):
-                gram, at, n = (np.array([r[c] for r in own], np.int64) for c in ("gram", "at", "n"))
-                order = np.argsort(at, kind="stable")
-                gram, at, n = gram[order], at[order], n[order]
+                numbers = np.array([[r[c] for c in ("gram", "at", "n", "off")] for r in own], np.int64)
+                numbers = numbers[np.argsort(numbers[:, 1], kind="stable")]
                 for lo in range(0, len(t), PIECE):
-                    mine = (at >= lo) & (at < lo + PIECE)
-                    if not mine.any():
-                        continue
-                    d = Digests(t[lo : lo + PIECE + 2 * WINDOW])
-                    each = np.repeat(at[mine], n[mine]) + np.concatenate([np.arange(k) for k in n[mine]])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(gram[mine], n[mine])), pa.array(d.at(each - lo, each - lo + WINDOW).view(np.int64)), pa.array(np.full(len(each), i)), pa.array(each)],
-                        ["gram", "window", "id", "at"],
-                    )
+                    mine = numbers[(numbers[:, 1] >= lo) & (numbers[:, 1] < lo + PIECE)]
+                    if len(mine):
+                        gram, core, reach, at, n, windows = cut(t, lo, *mine.T)
+                        yield pa.RecordBatch.from_arrays([gram, core, reach, pa.array(np.full(len(gram), i)), at, n, windows], ["gram", "core", "reach", "id", "at", "n", "windows"])
+
+    return wanted.mapInArrow(run, "gram long, core long, reach long, id long, at long, n smallint, windows array<long>")
+
 
-    return wanted.mapInArrow(run, "gram long, window long, id long, at long")
+def twice(rows: DataFrame, *digits: str) -> DataFrame:
+    """(digits, whole) of the groups of two rows or more by these digits; whole: all agree on the reach."""
+    groups = rows.groupBy(*digits).agg(F.count(F.lit(1)).alias("rows"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
+    return stash(groups.where("rows > 1").select(*digits, F.expr("lo = hi").alias("whole")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """(id, at, n): from byte `at` of text id on, n windows start that start elsewhere too; docs (id long, text binary)."""
     found = occurrences(docs)
-    groups = found.groupBy("gram").agg(F.count(F.lit(1)).alias("rows"), F.min("reach").alias("lo"), F.max("reach").alias("hi"))
-    groups = stash(groups.where("rows > 1").select("gram", F.expr("lo = hi").alias("whole")))
-    shared = stash(found.join(groups, "gram"))
-    mixed_groups = shared.where("not whole")
-    kinds = mixed_groups.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "at", "n")).alias("one"))
+    shared = stash(found.join(twice(found, "gram"), "gram"))
+    part = shared.where("not whole")
+    kinds = part.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "at", "n", "off")).alias("one"))
     kinds = stash(kinds.select("gram", "reach", "rows", "one.*"))
     copies = kinds.where("rows > 1").select("gram", "reach")
-    lists = kinds.groupBy("id").agg(F.collect_list(F.struct("gram", "at", "n")).alias("runs"))
-    windows = stash(opened(docs.join(lists, "id")))
+    lists = kinds.groupBy("id").agg(F.collect_list(F.struct("gram", "at", "n", "off")).alias("runs"))
+    bins = stash(binned(docs.join(lists, "id")))
+    cores = bins.join(twice(bins, "gram", "core"), ["gram", "core"])
+    cores = stash(cores.select("gram", "id", "at", "n", "whole", F.when(~F.col("whole"), F.col("windows")).alias("windows")))
+    windows = cores.where("not whole").select("gram", "id", "at", F.posexplode("windows").alias("step", "window"))
     again = stash(windows.groupBy("gram", "window").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    one = F.lit(1).cast("smallint").alias("n")
     return (
         shared.where("whole").select("id", "at", "n")
-        .unionAll(mixed_groups.join(copies, ["gram", "reach"]).select("id", "at", "n"))
-        .unionAll(windows.join(again, ["gram", "window"]).select("id", "at", F.lit(1).cast("smallint").alias("n")))
+        .unionAll(part.join(copies, ["gram", "reach"]).select("id", "at", "n"))
+        .unionAll(cores.where("whole").select("id", "at", "n"))
+        .unionAll(windows.join(again, ["gram", "window"]).select("id", (F.col("at") + F.col("step")).alias("at"), one))
     )
 
 

@@ -67,7 +67,7 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     data = [t.encode() for t in texts]
     windows = Counter()
     for which, offsets, parts in suffixes.pieces(data):
-        own, q, n, _, _ = suffixes.runs(parts)
+        own, q, n, *_ = suffixes.runs(parts)
         for o, a, k in zip(own, q, n):
             windows.update((which[o], offsets[o] + a + j) for j in range(k))
     assert set(windows.values()) == {1}
