@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 #: How the ByteLevel pre-tokenizer cuts a text (fixed value of the format; white space as Unicode's property).
 PATTERN = (
@@ -157,7 +157,7 @@ def encode(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text")
 
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
+    return mapped(src, run, f"key {kind}, ids array<int>").select(F.col("key").alias(key), "ids")
 
 
 def decode(encoded: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -171,7 +171,7 @@ def decode(encoded: DataFrame, vocab: str, key: str = "doc_id", ids: str = "ids"
 
     kind = encoded.schema[key].dataType.simpleString()
     src = encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return src.mapInArrow(run, f"key {kind}, text string").select(F.col("key").alias(key), F.col("text"))
+    return mapped(src, run, f"key {kind}, text string").select(F.col("key").alias(key), F.col("text"))
 
 
 def digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -198,4 +198,4 @@ def digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text",
     kind = docs.schema[key].dataType.simpleString()
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return src.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(src, run, schema).withColumnRenamed("key", key)

@@ -30,7 +30,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 from .words import SHINGLE, WORD, Words, shingles
 
 #: Least similarity, greatest Hamming distance, blocks of a fingerprint.
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     out = None
     for rows in blocks(items, item, item_text):
-        part = src.mapInArrow(finder(rows), schema)
+        part = mapped(src, finder(rows), schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -225,5 +225,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
         return run
 
     for rows in blocks(items, item, item_text):
-        row = row.mapInArrow(keeper(rows), schema)
+        row = mapped(row, keeper(rows), schema)
     return row.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

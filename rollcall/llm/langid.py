@@ -27,7 +27,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import mapped, slices
 
 #: N-grams of a profile (they have one to three letters), bits of a letter in an n-gram's number.
 PROFILE, BITS = 400, 21
@@ -88,7 +88,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(x), pa.string()), pa.array(x, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = mapped(known, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < PROFILE).select("lang", "gram", "place")
 
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, profile: DataFrame, text: str = "text") -> DataFram
 
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
     src = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text).cast("string").alias("text"))
-    out = src.mapInArrow(run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
+    out = mapped(src, run, f"row {src.schema['row'].dataType.simpleString()}, lang_pred string, score double")
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in columns), "lang_pred", "score")
 
 

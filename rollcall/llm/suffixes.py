@@ -35,7 +35,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, stash
+from .common import mapped, numbered, slices, stash
 from .words import mixed
 
 #: Bytes of a window and of a gram, windows of a bin.
@@ -152,7 +152,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                     ["gram", "reach", "id", "at", "n", "off"],
                 )
 
-    return docs.mapInArrow(run, "gram long, reach long, id long, at long, n smallint, off smallint")
+    return mapped(docs, run, "gram long, reach long, id long, at long, n smallint, off smallint")
 
 
 def binned(wanted: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def binned(wanted: DataFrame) -> DataFrame:
                         gram, core, reach, at, n, windows = cut(t, lo, *mine.T)
                         yield pa.RecordBatch.from_arrays([gram, core, reach, pa.array(np.full(len(gram), i)), at, n, windows], ["gram", "core", "reach", "id", "at", "n", "windows"])
 
-    return wanted.mapInArrow(run, "gram long, core long, reach long, id long, at long, n smallint, windows array<long>")
+    return mapped(wanted, run, "gram long, core long, reach long, id long, at long, n smallint, windows array<long>")
 
 
 def twice(rows: DataFrame, *digits: str) -> DataFrame:
@@ -261,4 +261,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             )
 
     schema = f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return both.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return mapped(both, run, schema).withColumnRenamed("key", key)
