@@ -17,13 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back.
+def stash(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it back, in at most `files` files if its size is known.
 
     Unlike checkpoint() the copy is columnar and compressed; unlike localCheckpoint() it outlives executors. Snappy,
     as zstd's native buffers pile up over many small files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    df = df if files is None else df.coalesce(max(1, files))
     df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
