@@ -3,18 +3,22 @@
 k-mers are shingles of five words, labelled with how often they occurred before in the text. Each of TABLES hash
 functions takes a text's PICKED lowest labelled k-mers and keeps them in text order; a sketch is the digest of that
 list, so it tells order and repetition apart, as edit similarity does. Texts that share at least AGREE sketches are
-candidates; the least similarity is 0.8, where a sketch agrees with a chance of about 0.8**3, and fewer than AGREE of
-TABLES do with a chance of about 1 in 100,000.
+candidates (FEW_AGREE if one has less than FEW shingles). At the least similarity, 0.8, a sketch agrees with a chance of
+about 0.8**3, so about 16 of TABLES do, and fewer than AGREE with a chance of one in a thousand.
 
 Two texts are near-duplicates if a banded alignment of their shingles (longest common subsequence, lcs) gives
 lcs / (n + m - lcs) >= 0.8. The band is as wide as that bound lets an alignment stray, so it cuts nothing off.
 
 Links, not pairs: texts with the same words are one to begin with. In each bucket (a table's sketch) every text is
-compared with the bucket's hub; texts that are linked then form components. What is left, texts outside their hub's
-component, is compared with all texts of other components in the bucket if there are at most OUTSIDE of them; fuller
-buckets are opened by pairs, then triples of sketches, which lose no candidate as candidates share AGREE of them; if even
-triples are fuller, hub after hub is compared until every one has been. So a group of n copies or near copies costs about n
-comparisons in a table, and no link between different texts that share sketches is lost to the classes.
+compared with the bucket's hub, the least id; texts that are linked then form components, so a group of n copies or near
+copies costs about n comparisons in a table. Then each bucket's texts are compared with a hub drawn by a hash, if it is of
+another component, HUB_ROUNDS times. What is left in a bucket, the texts outside its largest component, is
+compared with the texts of other components there, each pair in the first bucket that it shares. A bucket with more than
+OUTSIDE of them is opened: its texts meet by pairs of sketches instead, TABLES // FEW_AGREE apart at most. That loses no
+candidate, as of FEW_AGREE agreeing tables on a circle two are no further apart. Comparing means counting agreeing
+sketches and seeing how many of each text's LOWEST lowest labelled k-mers the two share. That bounds the similarity of texts
+of no more k-mers; of longer ones it is a sample, and the bar is over three standard deviations below what a similarity of
+0.8 gives on average. Texts are read only for pairs that pass both.
 
 Defined results: a null text counts as empty; texts without words are classed by equality; a text of fewer than five words
 is one shingle; repeated rows are one class; null keys are documents of their own; a class is named by its least key (null
@@ -34,13 +38,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, slices, stash
+from .common import mapped, numbered, slices, stash
 from .words import MIX, SHINGLE, Words, mixed, shingles
 
 #: Sketches of a text, k-mers of a sketch, sketches that candidates share, least similarity.
-TABLES, PICKED, AGREE, SIMILARITY = 24, 3, 3, 0.8
-#: Texts of a bucket outside the hub's component that are compared with all others at once.
-OUTSIDE = 64
+TABLES, PICKED, AGREE, SIMILARITY = 32, 3, 8, 0.8
+#: Texts with less than FEW shingles share FEW_AGREE sketches at least.
+FEW, FEW_AGREE = 30, 3
+#: Lowest k-mers of a text, as 31-bit digests; what part of both texts' k-mers candidates share (0.8 / 1.8), how many less
+#: may be among them (digests that meet, or 3.3 standard deviations of a sample).
+LOWEST, PART, WHOLE_SLACK, SAMPLE_SLACK = 256, 0.4444, 1, 21
+#: Rounds with hubs drawn by a hash; rows that one file of an intermediate table holds.
+HUB_ROUNDS, FILE_ROWS = 2, 25_000
+#: Texts outside a bucket's largest component that are compared with all its others; fuller buckets are opened.
+OUTSIDE = 2000
 #: Shingles whose hashes are held at a time; texts whose shingles a worker keeps.
 AT_ONCE, KEPT_TEXTS = 1 << 17, 64
 SEEDS = np.random.default_rng(7).integers(0, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,22 +68,28 @@ def labelled(x: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def sketches(x: np.ndarray) -> np.ndarray:
-    """The sketch of each table of a text's shingles (at least one)."""
-    kmers = labelled(x)
+def lowest(kmers: np.ndarray) -> np.ndarray:
+    """The upper 31 bits of the LOWEST least k-mers, in order."""
+    if len(kmers) > LOWEST:
+        kmers = np.partition(kmers, LOWEST - 1)[:LOWEST]
+    return (np.sort(kmers) >> np.uint64(33)).astype(np.int32)
+
+
+def sketches(kmers: np.ndarray) -> np.ndarray:
+    """The sketch of each table of a text's labelled k-mers (at least one)."""
     n = len(kmers)
     if n > PICKED:
-        lowest = np.empty((TABLES, PICKED), np.int64)
+        picked = np.empty((TABLES, PICKED), np.int64)
         lots = max(1, AT_ONCE // n)
         for t in range(0, TABLES, lots):
             hashes = kmers[None, :] * SEEDS[t : t + lots, None]
-            lowest[t : t + lots] = np.argpartition(hashes, PICKED - 1, axis=1)[:, :PICKED]
-        lowest.sort(axis=1)
+            picked[t : t + lots] = np.argpartition(hashes, PICKED - 1, axis=1)[:, :PICKED]
+        picked.sort(axis=1)
     else:
-        lowest = np.tile(np.arange(n), (TABLES, 1))
+        picked = np.tile(np.arange(n), (TABLES, 1))
     out = SEEDS.copy()
-    for k in range(lowest.shape[1]):
-        out = mixed(out * MIX + kmers[lowest[:, k]])
+    for k in range(picked.shape[1]):
+        out = mixed(out * MIX + kmers[picked[:, k]])
     return out
 
 
@@ -138,19 +155,24 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """(id, copy, sketch) of rows (id, text): copy is a digest of the words, or of the text if it has none."""
+    """(id, copy, n, sketch, low) of rows (id, text): copy is a digest of the words, or of the text if it has none; n
+    shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in slices(batches, "text"):
-            copies, found = [], []
+            copies, sizes, found, lows = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = words.numbers(t)
                 copies.append(("w" if len(w) else "t") + xxhash.xxh3_128_hexdigest(w.tobytes() if len(w) else t.encode()))
-                found.append(sketches(shingled(w)).view(np.int64) if len(w) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(copies, pa.string()), pa.array(found, pa.list_(pa.int64()))], ["id", "copy", "sketch"])
+                x = labelled(shingled(w)) if len(w) else w
+                sizes.append(len(x))
+                found.append(sketches(x).view(np.int64) if len(x) else x.view(np.int64))
+                lows.append(lowest(x))
+            columns = [b.column("id"), pa.array(copies, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "n", "sketch", "low"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, copy string, sketch array<long>")
+    return mapped(rows.select("id", "text"), run, "id long, copy string, n long, sketch array<long>, low array<int>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -173,7 +195,11 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), "text"), "b")
-    return both.select("a", "text_a", "b", "text").mapInArrow(run, "a long, b long")
+    return mapped(both.select("a", "text_a", "b", "text"), run, "a long, b long")
+
+
+def files(rows: int) -> int:
+    return rows // FILE_ROWS + 1
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -181,20 +207,36 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the least part among the neighbours, then the part of that part, until nothing changes.
     """
-    edges = stash(links.union(links.select("b", "a")).distinct())
-    parts = stash(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("part")))
+    k = files(2 * links.count())
+    edges = stash(links.union(links.select("b", "a")).distinct(), k)
+    parts = stash(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("part")), k)
     while True:
         near = edges.join(parts, edges.b == parts.id).groupBy("a").agg(F.min("part").alias("near"))
-        least = stash(parts.join(near, parts.id == near.a).select("id", F.least("part", "near").alias("part"), F.col("part").alias("old")))
+        least = stash(parts.join(near, parts.id == near.a).select("id", F.least("part", "near").alias("part"), F.col("part").alias("old")), k)
         over = least.select(F.col("id").alias("part"), F.col("part").alias("beyond"))
-        parts = stash(least.join(over, "part").select("id", F.col("beyond").alias("part"), "old"))
+        parts = stash(least.join(over, "part").select("id", F.col("beyond").alias("part"), "old"), k)
         if parts.where("part <> old").limit(1).count() == 0:
             return parts.select("id", "part")
         parts = parts.select("id", "part")
 
 
-def agreeing(a: str, b: str) -> Column:
-    return F.expr(f"size(filter(zip_with({a}, {b}, (x, y) -> x = y), z -> z)) >= {AGREE}")
+AGREEING = "size(filter(zip_with(sketch_a, sketch_b, (x, y) -> x = y), z -> z)) >= if(least(n_a, n_b) < {few}, {low}, {high})"
+FIRST = "array_position(zip_with(sketch_a, sketch_b, (x, y) -> x = y), true) = place"
+SHARING = (
+    "size(array_intersect(low_a, low_b)) >= if(greatest(n_a, n_b) <= {k}, {part} * (n_a + n_b) - {whole},"
+    " {k} * {part} * (1 + least(n_a, n_b) / greatest(n_a, n_b)) - {sample})"
+)
+
+
+def agreeing() -> Column:
+    """Whether texts a and b are candidates, by their sizes, sketches and lowest k-mers."""
+    fits = F.expr(f"least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b) - 1e-9D")
+    agree = F.expr(AGREEING.format(few=FEW, low=FEW_AGREE, high=AGREE))
+    return fits & agree & F.expr(SHARING.format(k=LOWEST, part=PART, whole=WHOLE_SLACK, sample=SAMPLE_SLACK))
+
+
+def side(rows: DataFrame, name: str, *also: str) -> DataFrame:
+    return rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sketch", "n", "low")), *also)
 
 
 def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -202,73 +244,72 @@ def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
     return members.join(components(links), "id", "left").withColumn("part", F.coalesce("part", "id"))
 
 
-def opened(rows: DataFrame) -> DataFrame:
-    """(bucket, id, part, sketch) rows by one more sketch: a bucket becomes one for each other sketch of its texts."""
-    more = rows.withColumn("other", F.explode("sketch")).where("not array_contains(used, other)")
-    used = F.array_sort(F.array_append("used", F.col("other")))
-    return more.withColumn("used", used).withColumn("bucket", F.xxhash64("used")).drop("other").dropDuplicates(["bucket", "id"])
+def left_over(rows: DataFrame, k: int) -> DataFrame:
+    """Rows (bucket, id, part, ...) of buckets with several components, with `main`, a largest component of the bucket,
+    and `outside`, the number of texts outside it."""
+    several = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
+    rows = stash(rows.join(stash(several, k), "bucket"), k)
+    sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket")
+    sizes = sizes.agg(F.max(F.struct("k", "part"))["part"].alias("main"), (F.sum("k") - F.max("k")).alias("outside"))
+    return rows.join(stash(sizes, k), "bucket")
 
 
-def left_over(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (bucket, id, part, sketch, used) that still need comparing: in buckets with at most OUTSIDE texts outside the
-    bucket's largest component, and in fuller ones. Both with `main`, that component."""
-    several = rows.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-    rows = stash(rows.join(stash(several), "bucket"))
-    sizes = rows.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket")
-    sizes = sizes.agg(F.max(F.struct("n", "part"))["part"].alias("main"), (F.sum("n") - F.max("n")).alias("outside"))
-    counted = stash(rows.join(stash(sizes), "bucket"))
-    return counted.where(F.col("outside") <= OUTSIDE), counted.where(F.col("outside") > OUTSIDE)
+def hubbed(rows: DataFrame, within: DataFrame, turn: int, k: int) -> DataFrame:
+    """Candidates (a, b): each bucket's hub of this turn with the bucket's texts of other components."""
+    drawn = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket", F.lit(turn)).alias("p"), "id", "part")).alias("h"))
+    hubs = stash(drawn.select(F.col("bucket").alias("bucket_a"), F.col("h.id").alias("a"), F.col("h.part").alias("part_a")), k)
+    pairs = hubs.join(rows.select("bucket", F.col("id").alias("b"), "part"), (F.col("bucket_a") == F.col("bucket")) & (F.col("part_a") != F.col("part")))
+    pairs = pairs.select("a", "b").distinct()
+    return pairs.join(side(within, "a"), "a").join(side(within, "b"), "b").where(agreeing()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def crossed(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b): every text outside the main component with all texts of other components in its bucket."""
-    a = rows.where("part <> main").select("bucket", F.col("id").alias("a"), F.col("part").alias("part_a"), F.col("sketch").alias("sketch_a"))
-    b = rows.select("bucket", F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("sketch").alias("sketch_b"), (F.col("part") != F.col("main")).alias("out_b"))
-    on = (F.col("part_a") != F.col("part_b")) & ((F.col("a") < F.col("b")) | ~F.col("out_b")) & agreeing("sketch_a", "sketch_b")
-    pairs = a.join(b, (a.bucket == b.bucket) & on)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def crossed(rows: DataFrame, first: bool) -> DataFrame:
+    """Candidates (a, b): texts outside the main component with texts of other components in their bucket (and if
+    `first`, in no bucket of an earlier place)."""
+    a = side(rows.where("part <> main"), "a", "bucket", "place", F.col("part").alias("part_a"))
+    b = side(rows, "b", F.col("bucket").alias("bucket_b"), F.col("part").alias("part_b"), (F.col("part") != F.col("main")).alias("out_b"))
+    on = (F.col("bucket") == F.col("bucket_b")) & (F.col("part_a") != F.col("part_b")) & ((F.col("a") < F.col("b")) | ~F.col("out_b"))
+    pairs = a.join(b, on & (F.expr(FIRST) if first else F.lit(True)) & agreeing())
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def opened(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, place, id, part, n, sketch, low) of texts by pairs of sketches at most TABLES // FEW_AGREE tables apart."""
+    pairs = [(t, (t + k) % TABLES) for t in range(TABLES) for k in range(1, TABLES // FEW_AGREE + 1)]
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("sketch")[t], F.col("sketch")[u]) for i, (t, u) in enumerate(pairs)))
+    texts = rows.select("id", "part", "n", "sketch", "low").dropDuplicates(["id"])
+    return texts.select("id", "part", "n", "sketch", "low", F.lit(0).alias("place"), F.explode(keys).alias("bucket"))
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """(id, part) of rows (id long, text): the least id of each row's class."""
     own = stash(sketched(rows))
-    one = stash(own.groupBy("copy").agg(F.min(F.struct("id", "sketch")).alias("first")).select("copy", "first.*"))
-    entries = one.select("id", F.explode("sketch").alias("bucket"))
+    k = files(own.count())
+    one = stash(own.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch", "low")).alias("first")).select("copy", "first.*"), k)
+    entries = one.select("id", F.posexplode("sketch").alias("place", "bucket"))
     hubs = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("hub"))
-    members = stash(entries.join(stash(hubs.where("texts > 1").drop("texts")), "bucket"))
-    within = stash(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "sketch"))
-    texts = stash(rows.select("id", "text").join(within.select("id"), "id", "left_semi"))
+    members = stash(entries.join(stash(hubs.where("texts > 1").drop("texts"), k), "bucket"), k)
+    within = stash(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "low"), k)
+    texts = stash(rows.select("id", "text").join(within.select("id"), "id", "left_semi"), k)
 
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(within.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    stars = stars.join(within.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    links = stash(verified(stars.where(agreeing("sketch_a", "sketch_b")).select("a", "b"), texts))
-
-    parted = stash(grouped(within, links))
-    few, full = left_over(members.select("bucket", "id").join(parted, "id").withColumn("used", F.array("bucket")))
-    pairs = crossed(few)
-    for _ in range(AGREE - 1):
-        if full.limit(1).count() == 0:
-            break
-        few, full = left_over(opened(full.drop("main", "outside")))
-        pairs = pairs.union(crossed(few))
-    links = stash(links.union(verified(pairs.distinct(), texts)))
-    tried = None
-    while full.limit(1).count():  # hub after hub, where even AGREE shared sketches leave too many
-        full = stash(full.drop("part", "main", "outside"))
-        again = full.join(stash(grouped(within.select("id"), links)), "id")
-        untried = again if tried is None else again.join(tried, ["bucket", "id"], "left_anti")
-        hub = untried.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("p"), "id", "part")).alias("h")).select("bucket", "h.id", F.col("h.part").alias("hub_part"))
-        hub = stash(hub)
-        pairs = again.join(hub.select("bucket", F.col("id").alias("hub"), "hub_part"), "bucket").where("part <> hub_part")
-        links = stash(links.union(verified(pairs.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), texts)))
-        tried = stash(hub.select("bucket", "id") if tried is None else tried.union(hub.select("bucket", "id")))
-        again = full.join(stash(grouped(within.select("id"), links)), "id")
-        mixed_buckets = again.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("bucket")
-        live = untried.select("bucket").distinct()
-        full = again.join(mixed_buckets, "bucket", "left_semi").join(live, "bucket", "left_semi").withColumns({"main": F.col("part"), "outside": F.lit(0)})
-
-    final = stash(grouped(one.select("copy", "id"), links)).select("copy", "part")
+    stars = stars.join(side(within, "a"), "a").join(side(within, "b"), "b").where(agreeing())
+    links = stash(verified(stars.select("a", "b"), texts))
+
+    places = members.select("bucket", (F.col("place") + 1).alias("place"), "id")
+    left = places.join(stash(grouped(within.select("id"), links), k), "id")
+    for turn in range(HUB_ROUNDS):
+        left = left_over(left, k)
+        links = stash(links.union(verified(stash(hubbed(left, within, turn, k).distinct(), k), texts)))
+        left = left.select("bucket", "place", "id").join(stash(grouped(within.select("id"), links), k), "id")
+    left = stash(left_over(left, k), k)
+    pairs = crossed(left.where(F.col("outside") <= OUTSIDE).join(within, "id"), first=True)
+    full = left.where(F.col("outside") > OUTSIDE)
+    if full.limit(1).count():
+        pairs = pairs.union(crossed(left_over(opened(full.join(within, "id")), k), first=False))
+    links = stash(links.union(verified(stash(pairs.distinct(), k), texts)))
+
+    final = stash(grouped(one.select("copy", "id"), links), k).select("copy", "part")
     return own.select("id", "copy").join(final, "copy").select("id", "part")
 
 
