@@ -120,7 +120,13 @@ def votes(kind: str, hit: Column, ahead: Column) -> list[Column]:
 def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_chars, spans array<struct<k, start, end, cell>>): all candidates of each document with their vote pattern."""
     src = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    found = spans.add(src, "text", {**BASE, **WEAK})
+    # most texts have neither an @ nor a digit: their patterns then see an empty text
+    only = lambda known: F.when(known, F.col("text")).otherwise("")
+    src = src.withColumns({"_mail": only(F.contains("text", F.lit("@"))), "_digits": only(F.col("text").rlike("[0-9]"))})
+    by = {"_mail": ("email",), "_digits": ("ip", "card", "phone", "tel", "pan"), "text": ("name",)}
+    found = src
+    for column, kinds in by.items():
+        found = spans.add(found, column, {k: {**BASE, **WEAK}[k] for k in kinds})
     checked = found.select("key", "text", *(
         (spans.kept(k, lambda h, k=k: passes(k, h)) if k in BASE else F.col(k)).alias(k) for k in KINDS
     ))
