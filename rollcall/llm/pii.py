@@ -230,14 +230,14 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with every span that detect() finds replaced by its kind in brackets.
 
-    The texts are not joined back: the classifier's decisions (a few cells) are applied to the candidates found again
-    in place, so no text is shuffled and repeated keys don't matter. Null texts stay null.
+    Rows go to the shared folder with their candidates, are counted there, and masked when read again: no text is shuffled,
+    the texts are searched once, and repeated keys don't matter. Null texts stay null.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"))
-    counts = candidates(docs, key, text).select(F.explode("spans.cell").alias("cell")).groupBy("cell").count().orderBy("cell")
+    found = stash(candidates(row, "row", "text"))
+    counts = found.select(F.explode("spans.cell").alias("cell")).groupBy("cell").count().orderBy("cell")
     chance = classifier([(r["cell"], r["count"]) for r in counts.collect()])
     good = [c for c, p in sorted(chance.items()) if p >= CUT]
-    found = candidates(row, "row", "text")
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ok = lambda x: (x["k"] < len(BASE)) | x["cell"].isin(good or [""])
     cut = F.transform(F.filter("spans", ok), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.element_at(marks, x["k"] + 1).alias("mark")))
