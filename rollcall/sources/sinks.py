@@ -16,8 +16,8 @@ WIDTHS = {"Apellidos": 34, "Nombre": 26, "NIA": 16, "REPETIX": 12, "MATÈRIA": 4
 
 
 def class_names(classes: DataFrame, group: str = "group_code") -> DataFrame:
-    """classes with file_name `<group>_idoceo`, numbered from the second on if safe names meet."""
-    named = classes.withColumn("_base", F.concat(tx.safe_file_name(F.col(group)), F.lit("_idoceo")))
+    """classes with file_name `<group>_export`, numbered from the second on if safe names meet."""
+    named = classes.withColumn("_base", F.concat(tx.safe_file_name(F.col(group)), F.lit("_export")))
     return numbered_names(named, [], "_base", ["source", "class_key"], "file_name", every=False).drop("_base")
 
 
