@@ -4,7 +4,8 @@ Words are runs of letters, digits and underscores in lower case; a shingle is fi
 shingle). A shingle weighs as often as it occurs; the similarity of two bags of shingles is the weighted Jaccard, the
 sum of the lesser counts by the sum of the greater ones. It depends on the two texts only, whatever the corpus.
 
-For every item size, a document's windows of that many words are fingerprinted: 64 bits, each the sign of the sum of
+For every item size, a document's windows of that many words are fingerprinted; a shorter document is one window, passed
+over if it has less than 0.8 of the item's shingles, as its similarity is less then too. A fingerprint has 64 bits, each the sign of the sum of
 the shingles' weights with the shingle's bit as sign. Two fingerprints within RADIUS differ in at most RADIUS // BLOCKS
 bits of at least one of BLOCKS blocks; for each block a table has, for every block value, the items within that many
 bits, so the tables' union is sure to hold every item within the radius. What they propose within the radius is
@@ -119,8 +120,9 @@ class Benchmark:
             if not len(hits):
                 continue
             for size in self.sizes:
-                span = size.words - k + 1  # shingles of a window
-                if size.shingle != k or span > len(x):
+                whole = size.words - k + 1  # shingles of the item
+                span = min(whole, len(x))  # and of a window, the whole text if that is shorter
+                if size.shingle != k or span < SIMILARITY * whole - 1e-9:
                     continue
                 mine = hits[among(x[hits], size.own)]
                 for lo, hi in runs(mine, span, len(x) - span):
@@ -136,7 +138,7 @@ class Benchmark:
         out: dict = {}
         for (item, _, n), (s, start) in best.items():
             if item not in out or s > out[item][3]:
-                out[item] = (item, start, n, s)
+                out[item] = (item, start, min(n, len(words)), s)
         return list(out.values())
 
 

@@ -85,3 +85,31 @@ def test_blocks_propose_every_fingerprint_within_the_radius():
     found = set(zip(*(v.tolist() for v in size.near(prints))))
     assert {(i, i) for i in range(30)} <= found
 
+
+
+def test_texts_shorter_than_the_item(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=n))) for i, n in enumerate([3, 4, 5, 6, 9, 15, 24, 40, 55, 59])]
+    docs = []
+    for _, text in items:
+        w = text.split()
+        for less in range(1, len(w)):
+            docs += [(len(docs), " ".join(w[:-less])), (len(docs) + 1, " ".join(w[less:]))]
+            docs.append((len(docs), " ".join(w[: less // 2] + ["other"] + w[less // 2 + 2 :])))
+    want = brute(docs, items)
+    for key, text in docs:
+        w = text.split()
+        for item, full in items:
+            n, k = len(full.split()), min(5, len(full.split()))
+            if len(w) < n:
+                a, b = bag(w, k), bag(full.split(), k)
+                s = sum((a & b).values()) / sum((a | b).values())
+                if s >= 0.8 - 1e-12:
+                    want[key, item] = s
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = decontam.leaks(docs, items).collect()
+    assert len(rows) > 50 and {(r.doc_id, r.item_id): r.similarity for r in rows} == pytest.approx(want)
+    words = {r.doc_id: len(r.text.split()) for r in docs.collect()}
+    assert all(r.first_word + r.n_words <= words[r.doc_id] for r in rows)
+    assert decontam.clean(docs, items).count() == docs.count() - len({r.doc_id for r in rows})
