@@ -3,8 +3,8 @@
 k-mers are shingles of five words, labelled with how often they occurred before in the text. Each of TABLES hash
 functions takes a text's PICKED lowest labelled k-mers and keeps them in text order; a sketch is the digest of that
 list, so it tells order and repetition apart, as edit similarity does. Texts that share at least AGREE sketches are
-candidates (FEW_AGREE if one has less than FEW shingles). At the least similarity, 0.8, a sketch agrees with a chance of
-about 0.8**3, so about 16 of TABLES do, and fewer than AGREE with a chance of one in a thousand.
+candidates. At the least similarity, 0.8, a sketch agrees with a chance of about 0.8**3, so about 16 of TABLES do, and
+fewer than AGREE with a chance of about 1e-7 (2e-5 where two texts have five shingles in all).
 
 Two texts are near-duplicates if a banded alignment of their shingles (longest common subsequence, lcs) gives
 lcs / (n + m - lcs) >= 0.8. The band is as wide as that bound lets an alignment stray, so it cuts nothing off.
@@ -14,11 +14,12 @@ compared with the bucket's hub, the least id; texts that are linked then form co
 copies costs about n comparisons in a table. Then each bucket's texts are compared with a hub drawn by a hash, if it is of
 another component, HUB_ROUNDS times. What is left in a bucket, the texts outside its largest component, is
 compared with the texts of other components there, each pair in the first bucket that it shares. A bucket with more than
-OUTSIDE of them is opened: its texts meet by pairs of sketches instead, TABLES // FEW_AGREE apart at most. That loses no
-candidate, as of FEW_AGREE agreeing tables on a circle two are no further apart. Comparing means counting agreeing
-sketches and seeing how many of each text's LOWEST lowest labelled k-mers the two share. That bounds the similarity of texts
-of no more k-mers; of longer ones it is a sample, and the bar is over three standard deviations below what a similarity of
-0.8 gives on average. Texts are read only for pairs that pass both.
+OUTSIDE of them is opened: its texts meet by pairs of sketches instead, TABLES // AGREE apart at most. That loses no
+candidate, as of AGREE agreeing tables on a circle two are no further apart. Comparing means counting agreeing
+sketches and seeing how many of each text's LOWEST lowest labelled k-mers the two share. That bounds the similarity: at 0.8
+a text has at most n - (n + m) * 0.8 / 1.8 k-mers that the other lacks, and of the text whose list ends lower, all others in
+the list are in the other's too. So no similar pair is passed over; for texts of over 2,300 shingles the bound says nothing.
+Texts are read only for pairs that pass both.
 
 Defined results: a null text counts as empty; texts without words are classed by equality; a text of fewer than five words
 is one shingle; repeated rows are one class; null keys are documents of their own; a class is named by its least key (null
@@ -42,12 +43,10 @@ from .common import mapped, numbered, slices, stash
 from .words import MIX, SHINGLE, Words, mixed, shingles
 
 #: Sketches of a text, k-mers of a sketch, sketches that candidates share, least similarity.
-TABLES, PICKED, AGREE, SIMILARITY = 32, 3, 8, 0.8
-#: Texts with less than FEW shingles share FEW_AGREE sketches at least.
-FEW, FEW_AGREE = 30, 3
+TABLES, PICKED, AGREE, SIMILARITY = 32, 3, 3, 0.8
 #: Lowest k-mers of a text, as 31-bit digests; what part of both texts' k-mers candidates share (0.8 / 1.8), how many less
-#: may be among them (digests that meet, or 3.3 standard deviations of a sample).
-LOWEST, PART, WHOLE_SLACK, SAMPLE_SLACK = 256, 0.4444, 1, 21
+#: may be among them (digests that meet).
+LOWEST, PART, SLACK = 256, 0.4444, 1
 #: Rounds with hubs drawn by a hash; rows that one file of an intermediate table holds.
 HUB_ROUNDS, FILE_ROWS = 2, 25_000
 #: Texts outside a bucket's largest component that are compared with all its others; fuller buckets are opened.
@@ -220,19 +219,19 @@ def components(links: DataFrame) -> DataFrame:
         parts = parts.select("id", "part")
 
 
-AGREEING = "size(filter(zip_with(sketch_a, sketch_b, (x, y) -> x = y), z -> z)) >= if(least(n_a, n_b) < {few}, {low}, {high})"
+AGREEING = "size(filter(zip_with(sketch_a, sketch_b, (x, y) -> x = y), z -> z)) >= {least}"
 FIRST = "array_position(zip_with(sketch_a, sketch_b, (x, y) -> x = y), true) = place"
 SHARING = (
-    "size(array_intersect(low_a, low_b)) >= if(greatest(n_a, n_b) <= {k}, {part} * (n_a + n_b) - {whole},"
-    " {k} * {part} * (1 + least(n_a, n_b) / greatest(n_a, n_b)) - {sample})"
+    "size(array_intersect(low_a, low_b)) >= {part} * (n_a + n_b) - {slack}"
+    " - if(greatest(n_a, n_b) <= {k}, 0, greatest(n_a, n_b) - {k})"
 )
 
 
 def agreeing() -> Column:
     """Whether texts a and b are candidates, by their sizes, sketches and lowest k-mers."""
     fits = F.expr(f"least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b) - 1e-9D")
-    agree = F.expr(AGREEING.format(few=FEW, low=FEW_AGREE, high=AGREE))
-    return fits & agree & F.expr(SHARING.format(k=LOWEST, part=PART, whole=WHOLE_SLACK, sample=SAMPLE_SLACK))
+    agree = F.expr(AGREEING.format(least=AGREE))
+    return fits & agree & F.expr(SHARING.format(k=LOWEST, part=PART, slack=SLACK))
 
 
 def side(rows: DataFrame, name: str, *also: str) -> DataFrame:
@@ -274,8 +273,8 @@ def crossed(rows: DataFrame, first: bool) -> DataFrame:
 
 
 def opened(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, place, id, part, n, sketch, low) of texts by pairs of sketches at most TABLES // FEW_AGREE tables apart."""
-    pairs = [(t, (t + k) % TABLES) for t in range(TABLES) for k in range(1, TABLES // FEW_AGREE + 1)]
+    """Rows (bucket, place, id, part, n, sketch, low) of texts by pairs of sketches at most TABLES // AGREE tables apart."""
+    pairs = [(t, (t + k) % TABLES) for t in range(TABLES) for k in range(1, TABLES // AGREE + 1)]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("sketch")[t], F.col("sketch")[u]) for i, (t, u) in enumerate(pairs)))
     texts = rows.select("id", "part", "n", "sketch", "low").dropDuplicates(["id"])
     return texts.select("id", "part", "n", "sketch", "low", F.lit(0).alias("place"), F.explode(keys).alias("bucket"))

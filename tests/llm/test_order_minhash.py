@@ -135,3 +135,33 @@ def test_repeated_null_keys_and_keep_one(spark):
     kept = om.keep_one(df)
     assert kept.columns == df.columns and sorted(r.id for r in kept.collect()).count("c") == 1 and kept.count() == 3
     assert om.report(df.limit(0)).collect() == [] and om.keep_one(df.limit(0)).collect() == []
+
+
+def test_links_at_the_threshold_with_few_agreeing_sketches(spark):
+    rng = np.random.default_rng(4)
+    words = om.Words()
+    texts = []
+    for _ in range(6000):
+        w = [f"w{i}" for i in rng.integers(0, 1 << 40, 94)]
+        v = list(w)
+        v[20 + rng.integers(0, 20)], v[50 + rng.integers(0, 20)] = "one", "two"  # 80 of 90 shingles stay: 80 / 100
+        a, b = (om.sketches(om.labelled(om.shingled(words.numbers(" ".join(x))))) for x in (w, v))
+        if 3 <= np.count_nonzero(a == b) < 8:
+            texts += [" ".join(w), " ".join(v)]
+    assert texts
+    assert run(spark, texts) == [i // 2 * 2 for i in range(len(texts))]
+
+
+def test_lowest_kmers_pass_over_no_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, m, adverse in [(90, 90, 1), (300, 300, 1), (256, 290, 1), (2000, 2000, 1), (2400, 3000, 0), (2400, 3000, 1), (300, 260, 0), (1000, 900, 1)] * 10:
+        lcs = -(-4 * (n + m) // 9)
+        x = rng.integers(0, 1 << 62, n + m - lcs, dtype=np.uint64) * np.uint64(4)
+        if adverse:
+            x.sort()
+        own, other, common = x[: n - lcs], x[n - lcs : n + m - 2 * lcs], x[n + m - 2 * lcs :]
+        lows = [om.lowest(np.concatenate([y, common])).tolist() for y in (own, other)]
+        rows.append(([1] * om.TABLES, [1] * om.TABLES, n, m, *lows))
+    df = spark.createDataFrame(rows, "sketch_a array<long>, sketch_b array<long>, n_a long, n_b long, low_a array<int>, low_b array<int>")
+    assert df.where(om.agreeing()).count() == len(rows)
