@@ -10,7 +10,7 @@ from ..functions import text as tx
 # Header words that a layout report may show.
 SAFE_LABELS = ("ORDE", "NIA", "REPETIX", "COGNOMS", "I", "NOM", "MATERIA", "MODUL", "GRUP", "GRUPO", "TUTOR", "CURS", "R", "FOTOGRAFIA", "NO", "DISPONIBLE")
 #: Issue codes that a shared report may name.
-SAFE_ISSUES = ("tutor_differs", "no_course", "courses_differ", "no_group", "not_in_sequence", "restart_without_section", "repeated_number", "no_signature", "no_students")
+SAFE_ISSUES = ("tutor_differs", "no_course", "courses_differ", "no_group", "not_in_sequence", "restart_without_section", "repeated_number", "no_signature", "no_students", "no_classes", "roster_invalid", "match_incomplete")
 
 
 def shape(c: Column) -> Column:
