@@ -2,8 +2,8 @@
 
 The trees are fit on URLs with a known verdict: by default those that a rule decides, or any (url, bad) rows. Features:
 length, depth, digit ratio, entropy, number of parameters, labels and hyphens of the host, and the statistics of the
-host's last label (how often it occurs, and how often as bad) over all labelled URLs. At most SAMPLE labelled rows, the
-first by a hash of the URL, reach the driver as feature bins and their counts; the trees become one SQL expression.
+host's last label (how often it occurs, and how often as bad) over all labelled URLs. At most SAMPLE distinct labelled URLs,
+the first by a hash, reach the driver as feature bins, weighted by how often they occur; the trees become one SQL expression.
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is judged by its features
 like any other; repeated rows give repeated results; without labelled rows of both verdicts everything that no rule
@@ -25,7 +25,7 @@ RULES = (
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 )
-#: Labelled rows that fit the trees, at most; trees, their depth, the shrinkage, and bins of a feature.
+#: Distinct labelled URLs that fit the trees, at most; trees, their depth, the shrinkage, and bins of a feature.
 SAMPLE, TREES, DEPTH, RATE, BINS = 20_000, 24, 3, 0.3, 16
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "suffix_count", "suffix_bad")
 
@@ -147,9 +147,9 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules: tuple[tupl
         F.log1p(F.count(F.lit(1))).alias("suffix_count"), ((F.sum(F.col("bad").cast("int")) + 1) / (F.count(F.lit(1)) + 2)).alias("suffix_bad")
     )
     filled = {"suffix_count": 0.0, "suffix_bad": 0.5}
-    sample = known.select(*(c for c in FEATURES if c not in filled), "suffix", "url", F.col("bad").cast("int").alias("bad"))
-    sample = sample.orderBy(F.xxhash64("url"), "url").limit(SAMPLE).join(stats, "suffix", "left").fillna(filled)
-    grouped = sample.groupBy(*FEATURES, "bad").count()  # SAMPLE rows at most
+    distinct = known.groupBy("url", F.col("bad").cast("int").alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+    sample = featured(distinct.orderBy(F.xxhash64("url"), "url", "bad").limit(SAMPLE)).join(stats, "suffix", "left").fillna(filled)
+    grouped = sample.groupBy(*FEATURES, "bad").agg(F.sum("n").alias("count"))  # SAMPLE rows at most
     seen = sorted((tuple(r[f] for f in FEATURES), r["bad"], r["count"]) for r in grouped.collect())
     edges = [cuts([v[f] for v, _, n in seen]) for f in range(len(FEATURES))]
     model = Trees([([sum(x > e for e in edges[f]) for f, x in enumerate(v)], y, n) for v, y, n in seen])

@@ -54,3 +54,17 @@ def test_trees_learn_from_labelled_urls(spark):
 
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def test_copies_of_one_url_leave_room_for_others_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(urls, "SAMPLE", 60)
+    good = [f"https://site{i}.example.org/about" for i in range(30)]
+    bad = [f"http://w{i}-{i}-x.example.biz/a/b/c/d/{i}?q={i}&r=1%20{i}" for i in range(30)]
+    hashes = {r.u: r.h for r in spark.createDataFrame([(u,) for u in good + bad], "u string").selectExpr("u", "xxhash64(u) AS h").collect()}
+    first = min(good, key=hashes.get)
+    bad = [u for u in bad if hashes[u] > hashes[first]]
+    assert len(bad) > 20
+    labelled = spark.createDataFrame([(u, False) for u in good] + [(u, True) for u in bad] + [(first, False)] * 200, "url string, bad boolean")
+    pages = spark.createDataFrame(list(enumerate(good + bad)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labelled, rules=()).collect()}
+    assert got == {i: "allow" if i < 30 else "block" for i in range(30 + len(bad))}
