@@ -16,14 +16,17 @@ another component, HUB_ROUNDS times. What is left in a bucket, the texts outside
 compared with the texts of other components there, each pair in the first bucket that it shares. A bucket with more than
 OUTSIDE of them is opened: its texts meet by pairs of sketches instead, TABLES // AGREE apart at most. That loses no
 candidate, as of AGREE agreeing tables on a circle two are no further apart. Comparing means counting agreeing
-sketches and seeing how many of each text's LOWEST lowest labelled k-mers the two share. That bounds the similarity: at 0.8
-a text has at most n - (n + m) * 0.8 / 1.8 k-mers that the other lacks, and of the text whose list ends lower, all others in
-the list are in the other's too. So no similar pair is passed over; for texts of over 2,300 shingles the bound says nothing.
-Texts are read only for pairs that pass both.
+sketches and holding parity bitmaps against each other: bit i tells whether an odd number of a text's labelled k-mers
+fall on i, so two bitmaps differ in at most as many bits as there are k-mers in one text only. At similarity 0.8 or more
+those are at most a ninth of the two texts' k-mers, so no similar pair is passed over. A bitmap has two to four bits a
+k-mer, which tells most pairs at 0.75 from those at 0.8; at most MOST_BITS bits, beyond which (over 16,384 shingles) it
+tells less. These tests are conditions of the joins, so only pairs that pass become rows, and texts are read for those.
 
 Defined results: a null text counts as empty; texts without words are classed by equality; a text of fewer than five words
 is one shingle; repeated rows are one class; null keys are documents of their own; a class is named by its least key (null
-if it has no other); an empty table gives an empty one; other columns don't take part.
+if it has no other); ties: the least id is the hub of a bucket and names its component; an empty table gives an empty one;
+other columns don't take part. A very long text is sketched AT_ONCE hashes at a time; aligning two of n shingles takes
+about n * n / 300 word operations, the one step that doesn't grow in proportion. Jobs run while the plan is built.
 """
 
 from __future__ import annotations
@@ -44,15 +47,14 @@ from .words import MIX, SHINGLE, Words, mixed, shingles
 
 #: Sketches of a text, k-mers of a sketch, sketches that candidates share, least similarity.
 TABLES, PICKED, AGREE, SIMILARITY = 32, 3, 3, 0.8
-#: Lowest k-mers of a text, as 31-bit digests; what part of both texts' k-mers candidates share (0.8 / 1.8), how many less
-#: may be among them (digests that meet).
-LOWEST, PART, SLACK = 256, 0.4444, 1
+#: Bits of a parity bitmap at least and at most.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 #: Rounds with hubs drawn by a hash; rows that one file of an intermediate table holds.
 HUB_ROUNDS, FILE_ROWS = 2, 25_000
 #: Texts outside a bucket's largest component that are compared with all its others; fuller buckets are opened.
 OUTSIDE = 2000
-#: Shingles whose hashes are held at a time; texts whose shingles a worker keeps.
-AT_ONCE, KEPT_TEXTS = 1 << 17, 64
+#: Shingles whose hashes are held at a time; shingles that a worker keeps of texts it compares.
+AT_ONCE, KEPT_SHINGLES = 1 << 17, 1 << 20
 SEEDS = np.random.default_rng(7).integers(0, 1 << 63, TABLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -67,11 +69,11 @@ def labelled(x: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
-def lowest(kmers: np.ndarray) -> np.ndarray:
-    """The upper 31 bits of the LOWEST least k-mers, in order."""
-    if len(kmers) > LOWEST:
-        kmers = np.partition(kmers, LOWEST - 1)[:LOWEST]
-    return (np.sort(kmers) >> np.uint64(33)).astype(np.int32)
+def parities(kmers: np.ndarray) -> np.ndarray:
+    """The parity bitmap of labelled k-mers, as 64-bit integers."""
+    bits = min(max(1 << (2 * len(kmers) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((kmers & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
 def sketches(kmers: np.ndarray) -> np.ndarray:
@@ -154,41 +156,43 @@ def similarity(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def sketched(rows: DataFrame) -> DataFrame:
-    """(id, copy, n, sketch, low) of rows (id, text): copy is a digest of the words, or of the text if it has none; n
+    """(id, copy, n, sketch, bits) of rows (id, text): copy is a digest of the words, or of the text if it has none; n
     shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in slices(batches, "text"):
-            copies, sizes, found, lows = [], [], [], []
+        for b in slices(batches, "text", 1 << 20):
+            copies, sizes, found, bits = [], [], [], []
             for t in b.column("text").to_pylist():
                 w = words.numbers(t)
                 copies.append(("w" if len(w) else "t") + xxhash.xxh3_128_hexdigest(w.tobytes() if len(w) else t.encode()))
                 x = labelled(shingled(w)) if len(w) else w
                 sizes.append(len(x))
                 found.append(sketches(x).view(np.int64) if len(x) else x.view(np.int64))
-                lows.append(lowest(x))
-            columns = [b.column("id"), pa.array(copies, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(lows, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "n", "sketch", "low"])
+                bits.append(parities(x))
+            columns = [b.column("id"), pa.array(copies, pa.string()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "copy", "n", "sketch", "bits"])
 
-    return mapped(rows.select("id", "text"), run, "id long, copy string, n long, sketch array<long>, low array<int>")
+    return mapped(rows.select("id", "text"), run, "id long, copy string, n long, sketch array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose texts (id, text) are near-duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kept = Words(), OrderedDict()
+        words, kept, held = Words(), OrderedDict(), 0
 
         def of(i: int, text: str) -> np.ndarray:
+            nonlocal held
             if i not in kept:
                 kept[i] = shingled(words.numbers(text))
-                if len(kept) > KEPT_TEXTS:
-                    kept.popitem(last=False)
+                held += len(kept[i])
+                while held > KEPT_SHINGLES and len(kept) > 2:
+                    held -= len(kept.popitem(last=False)[1])
             kept.move_to_end(i)
             return kept[i]
 
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 1 << 20):
             columns = [b.column(c).to_pylist() for c in ("a", "text_a", "b", "text")]
             good = [similarity(of(i, s), of(j, t)) >= SIMILARITY - 1e-9 for i, s, j, t in zip(*columns)]
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -221,21 +225,24 @@ def components(links: DataFrame) -> DataFrame:
 
 AGREEING = "size(filter(zip_with(sketch_a, sketch_b, (x, y) -> x = y), z -> z)) >= {least}"
 FIRST = "array_position(zip_with(sketch_a, sketch_b, (x, y) -> x = y), true) = place"
-SHARING = (
-    "size(array_intersect(low_a, low_b)) >= {part} * (n_a + n_b) - {slack}"
-    " - if(greatest(n_a, n_b) <= {k}, 0, greatest(n_a, n_b) - {k})"
-)
+FOLDED = "if(size({x}) > size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+DIFFERING = "aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
 
 
 def agreeing() -> Column:
-    """Whether texts a and b are candidates, by their sizes, sketches and lowest k-mers."""
+    """Whether texts a and b are candidates, by their sizes, sketches and parity bitmaps.
+
+    lcs / (n + m - lcs) >= 0.8 leaves at most (n + m) / 9 k-mers without a partner. Sizes that fit make bitmaps of one
+    size or of twice the size; a bitmap is halved by adding up its halves.
+    """
     fits = F.expr(f"least(n_a, n_b) >= {SIMILARITY} * greatest(n_a, n_b) - 1e-9D")
-    agree = F.expr(AGREEING.format(least=AGREE))
-    return fits & agree & F.expr(SHARING.format(k=LOWEST, part=PART, slack=SLACK))
+    differing = DIFFERING.format(a=FOLDED.format(x="bits_a", y="bits_b"), b=FOLDED.format(x="bits_b", y="bits_a"))
+    alone = F.expr(f"{differing} <= (n_a + n_b) * {(1 - SIMILARITY) / (1 + SIMILARITY)} + 1e-6D")
+    return fits & alone & F.expr(AGREEING.format(least=AGREE))
 
 
 def side(rows: DataFrame, name: str, *also: str) -> DataFrame:
-    return rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sketch", "n", "low")), *also)
+    return rows.select(F.col("id").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("sketch", "n", "bits")), *also)
 
 
 def grouped(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -273,22 +280,22 @@ def crossed(rows: DataFrame, first: bool) -> DataFrame:
 
 
 def opened(rows: DataFrame) -> DataFrame:
-    """Rows (bucket, place, id, part, n, sketch, low) of texts by pairs of sketches at most TABLES // AGREE tables apart."""
+    """Rows (bucket, place, id, part, n, sketch, bits) of texts by pairs of sketches at most TABLES // AGREE tables apart."""
     pairs = [(t, (t + k) % TABLES) for t in range(TABLES) for k in range(1, TABLES // AGREE + 1)]
     keys = F.array(*(F.xxhash64(F.lit(i), F.col("sketch")[t], F.col("sketch")[u]) for i, (t, u) in enumerate(pairs)))
-    texts = rows.select("id", "part", "n", "sketch", "low").dropDuplicates(["id"])
-    return texts.select("id", "part", "n", "sketch", "low", F.lit(0).alias("place"), F.explode(keys).alias("bucket"))
+    texts = rows.select("id", "part", "n", "sketch", "bits").dropDuplicates(["id"])
+    return texts.select("id", "part", "n", "sketch", "bits", F.lit(0).alias("place"), F.explode(keys).alias("bucket"))
 
 
 def classes(rows: DataFrame) -> DataFrame:
     """(id, part) of rows (id long, text): the least id of each row's class."""
     own = stash(sketched(rows))
     k = files(own.count())
-    one = stash(own.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch", "low")).alias("first")).select("copy", "first.*"), k)
+    one = stash(own.groupBy("copy").agg(F.min(F.struct("id", "n", "sketch", "bits")).alias("first")).select("copy", "first.*"), k)
     entries = one.select("id", F.posexplode("sketch").alias("place", "bucket"))
     hubs = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("hub"))
     members = stash(entries.join(stash(hubs.where("texts > 1").drop("texts"), k), "bucket"), k)
-    within = stash(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "low"), k)
+    within = stash(one.join(members.select("id").distinct(), "id", "left_semi").select("id", "n", "sketch", "bits"), k)
     texts = stash(rows.select("id", "text").join(within.select("id"), "id", "left_semi"), k)
 
     stars = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()

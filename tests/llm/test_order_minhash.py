@@ -152,16 +152,47 @@ def test_links_at_the_threshold_with_few_agreeing_sketches(spark):
     assert run(spark, texts) == [i // 2 * 2 for i in range(len(texts))]
 
 
-def test_lowest_kmers_pass_over_no_similar_pair(spark):
+def test_parity_bitmaps_pass_over_no_similar_pair(spark):
     rng = np.random.default_rng(5)
     rows = []
-    for n, m, adverse in [(90, 90, 1), (300, 300, 1), (256, 290, 1), (2000, 2000, 1), (2400, 3000, 0), (2400, 3000, 1), (300, 260, 0), (1000, 900, 1)] * 10:
-        lcs = -(-4 * (n + m) // 9)
-        x = rng.integers(0, 1 << 62, n + m - lcs, dtype=np.uint64) * np.uint64(4)
-        if adverse:
-            x.sort()
-        own, other, common = x[: n - lcs], x[n - lcs : n + m - 2 * lcs], x[n + m - 2 * lcs :]
-        lows = [om.lowest(np.concatenate([y, common])).tolist() for y in (own, other)]
-        rows.append(([1] * om.TABLES, [1] * om.TABLES, n, m, *lows))
-    df = spark.createDataFrame(rows, "sketch_a array<long>, sketch_b array<long>, n_a long, n_b long, low_a array<int>, low_b array<int>")
-    assert df.where(om.agreeing()).count() == len(rows)
+    for n, m in [(1, 1), (4, 5), (31, 33), (90, 90), (300, 300), (256, 290), (2000, 2000), (2400, 3000), (300, 260), (1000, 900), (30000, 36000)] * 4:
+        for short in (0, 1):  # as few common k-mers as links have, then one or a twentieth less
+            lcs = -(-4 * (n + m) // 9)
+            lcs -= short and max(1, lcs // 20)
+            x = rng.integers(0, 1 << 62, n + m - lcs, dtype=np.uint64) * np.uint64(4) + rng.integers(0, 4, n + m - lcs, dtype=np.uint64)
+            own, other, common = x[: n - lcs], x[n - lcs : n + m - 2 * lcs], x[n + m - 2 * lcs :]
+            bits = [om.parities(np.concatenate([y, common])).tolist() for y in (own, other)]
+            if lcs >= 0:
+                rows.append((short, [1] * om.TABLES, [1] * om.TABLES, n, m, *bits))
+    kinds = "short int, sketch_a array<long>, sketch_b array<long>, n_a long, n_b long, bits_a array<long>, bits_b array<long>"
+    passed = spark.createDataFrame(rows, kinds).where(om.agreeing())
+    assert passed.where("short = 0").count() == sum(not r[0] for r in rows)
+    assert passed.where("short = 1").count() < sum(r[0] for r in rows)
+
+
+def recall_table(seed, n):
+    """Pairs of a text and an edited copy, at 0.75 to 0.9, of 20 to 700 words."""
+    rng = np.random.default_rng(seed)
+    texts, similar = [], []
+    words = om.Words()
+    while len(texts) < 2 * n:
+        size = int(rng.choice([20, 60, 150, 300, 700]))
+        w = [f"w{i}" for i in rng.integers(0, 1 << 40, size)]
+        v = list(w)
+        for k in rng.choice(size, max(1, int(rng.uniform(0.012, 0.035) * size)), replace=False):
+            v[k] = f"e{rng.integers(1 << 40)}"
+        x, y = (om.shingled(words.numbers(" ".join(t))) for t in (w, v))
+        c = om.aligned(x.tolist(), y.tolist(), len(x))
+        s = c / (len(x) + len(y) - c)
+        if 0.75 <= s <= 0.9:
+            texts += [" ".join(w), " ".join(v)]
+            similar.append(s >= 0.8 - 1e-9)
+    return texts, similar
+
+
+def test_recall_over_five_thousand_documents(spark):
+    texts, similar = recall_table(6, 2500)
+    got = run(spark, texts)
+    found = [a == b for a, b in zip(got[::2], got[1::2])]
+    assert not any(f and not s for f, s in zip(found, similar))
+    assert sum(f for f, s in zip(found, similar) if s) == sum(similar) > 1000
