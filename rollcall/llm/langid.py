@@ -75,7 +75,7 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in slices(batches, "text", 4 << 20):
+        for b in slices(batches, "text", 1 << 19):
             parts: dict[str, list[str]] = {}
             for name, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 parts.setdefault(name, []).append(t)
@@ -90,7 +90,8 @@ def profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFra
     known = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and text is not null")
     counts = mapped(known, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < PROFILE).select("lang", "gram", "place")
+    first = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROFILE)  # the limit reaches the window
+    return first.select("lang", "gram", (F.col("place") - 1).alias("place"))
 
 
 class Ranker:
