@@ -33,7 +33,9 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pre-tokens kept by a Python worker, and the longest that is kept (a bound of memory, not of what is encoded).
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+CACHE_WORDS, CACHE_LENGTH = 100_000, 64
+#: Bytes of text that are cut into pre-tokens at a time; a pre-token takes some 15 times its bytes.
+AT_ONCE = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -151,7 +153,7 @@ def encode(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", AT_ONCE):
             ids = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode([t or "" for t in b.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(ids, pa.list_(pa.int32()))], ["key", "ids"])
 
@@ -183,7 +185,7 @@ def digest(docs: DataFrame, vocab: str, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(vocab)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", AT_ONCE):
             ids = bpe.encode([t or "" for t in b.column("text").to_pylist()])
             columns = [
                 b.column("key"),
