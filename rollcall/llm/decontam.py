@@ -5,19 +5,24 @@ shingle). A shingle weighs as often as it occurs; the similarity of two bags of
 sum of the lesser counts by the sum of the greater ones. It depends on the two texts only, whatever the corpus.
 
 For every item size, a document's windows of that many words are fingerprinted; a shorter document is one window, passed
-over if it has less than 0.8 of the item's shingles, as its similarity is less then too. A fingerprint has 64 bits, each the sign of the sum of
-the shingles' weights with the shingle's bit as sign. Two fingerprints within RADIUS differ in at most RADIUS // BLOCKS
-bits of at least one of BLOCKS blocks; for each block a table has, for every block value, the items within that many
-bits, so the tables' union is sure to hold every item within the radius. What they propose within the radius is
-verified exactly. Windows without any shingle of an item of that size have similarity 0, so they are passed over
-before they are fingerprinted. At similarity 0.8 two fingerprints are 9.7 bits apart on average (27 degrees); RADIUS is
-over four standard deviations beyond that.
-
-Documents are only read once for each block of items; a block has at most ITEM_WORDS words of whole items (one larger
-item is a block by itself), so what a task holds of the benchmark is bounded whatever its size. No shuffle takes part.
+over if it has less than 0.8 of the item's shingles, as its similarity is less then too. A fingerprint has BITS bits, each
+the sign of the sum of the shingles' weights with one bit of the shingle's digest as sign. Fingerprints within RADIUS differ
+in at most RADIUS // BLOCKS bits of at least one of BLOCKS blocks, so a pair that is close in no block can't be within the
+radius: the blocks propose every pair within it, and 0.84 % of unrelated ones. Only windows and items with a shingle in
+common meet, found by an index from shingles to items, as the similarity of all others is 0; so what a window costs depends
+on the items that share its words, not on the size of the benchmark. (At a radius of a quarter of the bits, tables of all
+near block values would be larger than the items themselves, so blocks are compared, not looked up.) Pairs within the
+radius are verified exactly. At similarity 0.8 two fingerprints are 38.6 bits apart on average (27 degrees) with a
+deviation of 5.7; RADIUS is 4.3 deviations beyond.
+
+Documents are read once for each block of items; a block has at most ITEM_WORDS words of whole items (one larger item is a
+block by itself). The driver holds one block at a time, and each block but the last is run and its result written before
+the next is read, so what the driver and a task hold of the benchmark is bounded whatever its size. No shuffle takes part.
 
 Defined results: null or empty texts and items match nothing; repeated documents give repeated rows, repeated items
-(same key and text) one row each; an empty table on either side gives an empty result; other columns don't take part.
+(same key and text) one row each; of an item's windows of equal similarity the first counts; a very long text is
+fingerprinted MOST_STARTS windows at a time; an empty table on either side gives an empty result; other columns don't take
+part. Jobs run while the plan is built: one to read the items, one for each block of items but the last.
 """
 
 from __future__ import annotations
@@ -31,11 +36,13 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, slices
-from .words import SHINGLE, WORD, Words, shingles
+from .common import mapped, slices, stash
+from .words import MIX, SHINGLE, WORD, Words, mixed, shingles
 
-#: Least similarity, greatest Hamming distance, blocks of a fingerprint.
-SIMILARITY, RADIUS, BLOCKS = 0.8, 23, 8
+#: Least similarity, bits of a fingerprint, greatest Hamming distance, blocks of 32 bits.
+SIMILARITY, BITS, RADIUS, BLOCKS = 0.8, 256, 63, 8
+#: Blocks that are compared at a time.
+COMPARED = 1 << 20
 #: Words of a block of items at most.
 ITEM_WORDS = 500_000
 
@@ -47,50 +54,52 @@ def among(x: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def signs(x: np.ndarray) -> np.ndarray:
-    """-1 or 1 for each of the 64 bits of each number."""
-    bits = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return bits.astype(np.float64) * 2 - 1
+    """-1 or 1 for each of the BITS bits of each number's digest."""
+    words = mixed(x[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * MIX)
+    bits = np.unpackbits(words.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+    return bits.astype(np.int32) * 2 - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    """The fingerprints of rows of 64 sums; a sum of zero gives 1."""
-    return np.packbits(sums > -1e-9, axis=1, bitorder="little").reshape(-1, 8).copy().view("<u8").ravel()
+    """The fingerprints of rows of BITS sums, as rows of blocks; a sum of zero gives 1."""
+    return np.packbits(sums >= 0, axis=1, bitorder="little").view("<u4")
 
 
 class Size:
-    """The items of one number of words, with their multi-index tables."""
+    """The items of one number of words: fingerprints, shingles, and which items have each shingle."""
 
     def __init__(self, words: int, rows: list[tuple[int, Counter]]):
         self.words, self.shingle = words, min(words, SHINGLE)
         self.items = rows
-        self.own = np.array(sorted({s for _, bag in rows for s in bag}), np.uint64)
-        sums = []
-        for _, bag in rows:
-            x = np.array(list(bag), np.uint64)
-            w = np.array(list(bag.values()), np.float64)
-            sums.append((signs(x) * w[:, None]).sum(axis=0))
+        bags = [np.array(list(bag), np.uint64) for _, bag in rows]
+        sums = [(signs(x) * np.array(list(bag.values()), np.int64)[:, None]).sum(axis=0) for x, (_, bag) in zip(bags, rows)]
         self.prints = packed(np.array(sums))
-        width = 64 // BLOCKS
-        values = np.arange(1 << width, dtype=np.uint64)
-        near = np.bitwise_count(values[:, None] ^ values[None, :]) <= RADIUS // BLOCKS
-        part = lambda x, b: (x >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-        self.tables = [near[:, part(self.prints, b).astype(np.int64)] for b in range(BLOCKS)]
-        self.part = part
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) of all fingerprints within the radius."""
-        proposed = np.zeros((len(prints), len(self.items)), bool)
-        for b, t in enumerate(self.tables):
-            proposed |= t[self.part(prints, b).astype(np.int64)]
-        w, i = np.nonzero(proposed)
-        close = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
-        return w[close], i[close]
+        flat, holder = np.concatenate(bags), np.repeat(np.arange(len(rows)), [len(x) for x in bags])
+        order = np.argsort(flat, kind="stable")
+        self.own, first = np.unique(flat[order], return_index=True)
+        self.holders, self.first = holder[order], np.append(first, len(flat))
+
+    def having(self, x: np.ndarray) -> np.ndarray:
+        """The items with any of the shingles x, all of which some item has."""
+        at = np.unique(np.searchsorted(self.own, x)).tolist()
+        return np.unique(np.concatenate([self.holders[self.first[k] : self.first[k + 1]] for k in at]))
+
+    def near(self, prints: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all fingerprints within the radius, of these items."""
+        lot = max(1, COMPARED // (len(items) * BLOCKS))
+        found = []
+        for lo in range(0, len(prints), lot):
+            apart = np.bitwise_count(prints[lo : lo + lot, None, :] ^ self.prints[items][None])
+            w, i = np.nonzero(apart.min(axis=2) <= RADIUS // BLOCKS)
+            close = apart[w, i].sum(axis=1, dtype=np.int64) <= RADIUS
+            found.append((w[close] + lo, items[i[close]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 class Benchmark:
     """A block of items: their sizes, and a bitmap of all their shingles."""
 
-    BITS = 1 << 22
+    MAP = 1 << 22
 
     def __init__(self, rows: list[tuple]):
         words = Words()
@@ -102,7 +111,7 @@ class Benchmark:
         self.sizes = [Size(n, by[n]) for n in sorted(by)]
         self.bitmap = {}
         for s in self.sizes:
-            self.bitmap.setdefault(s.shingle, np.zeros(self.BITS, bool))[(s.own % np.uint64(self.BITS)).astype(np.int64)] = True
+            self.bitmap.setdefault(s.shingle, np.zeros(self.MAP, bool))[(s.own % np.uint64(self.MAP)).astype(np.int64)] = True
         self.all = {k: np.unique(np.concatenate([s.own for s in self.sizes if s.shingle == k])) for k in self.bitmap}
 
     @staticmethod
@@ -115,7 +124,7 @@ class Benchmark:
         best: dict = {}
         for k, bitmap in self.bitmap.items():
             x = shingles(words, k)
-            hits = np.flatnonzero(bitmap[(x % np.uint64(self.BITS)).astype(np.int64)])
+            hits = np.flatnonzero(bitmap[(x % np.uint64(self.MAP)).astype(np.int64)])
             hits = hits[among(x[hits], self.all[k])]
             if not len(hits):
                 continue
@@ -130,7 +139,8 @@ class Benchmark:
                     sums = np.cumsum(signs(y), axis=0)
                     at = sums[span - 1 :].copy()
                     at[1:] -= sums[: len(y) - span]
-                    for w, i in zip(*(v.tolist() for v in size.near(packed(at)))):
+                    held = size.having(x[mine[(mine >= lo) & (mine < hi + span)]])
+                    for w, i in zip(*(v.tolist() for v in size.near(packed(at), held))):
                         item, bag = size.items[i]
                         s = self.similar(bag, y[w : w + span])
                         if s >= SIMILARITY - 1e-12 and s > best.get((item, i, size.words), (0, 0))[0] + 1e-12:
@@ -191,7 +201,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     def finder(rows: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench, words = Benchmark(rows), Words()
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 1 << 20):
                 found = [(k, *m) for k, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist()) if t for m in bench.matches(words.numbers(t))]
                 if found:
                     key_type = b.schema.field("key").type
@@ -203,12 +213,14 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
         return run
 
-    out = None
+    out = last = None
     for rows in blocks(items, item, item_text):
-        part = mapped(src, finder(rows), schema)
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        out = docs.sparkSession.createDataFrame([], schema)
+        if last is not None:
+            out = stash(last) if out is None else out.unionAll(stash(last))
+        last = mapped(src, finder(rows), schema)
+    if last is None:
+        last = docs.sparkSession.createDataFrame([], schema)
+    out = last if out is None else out.unionAll(last)
     return out.withColumnsRenamed({"key": key, "item": item})
 
 
@@ -220,12 +232,12 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "it
     def keeper(rows: list[tuple]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bench, words = Benchmark(rows), Words()
-            for b in slices(batches, "text"):
+            for b in slices(batches, "text", 1 << 20):
                 good = [not (t and bench.matches(words.numbers(t))) for t in b.column("text").to_pylist()]
                 yield b.filter(pa.array(good, pa.bool_()))
 
         return run
 
-    for rows in blocks(items, item, item_text):
-        row = mapped(row, keeper(rows), schema)
+    for n, rows in enumerate(blocks(items, item, item_text)):
+        row = mapped(stash(row) if n else row, keeper(rows), schema)
     return row.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("rollcall.llm")
@@ -73,6 +74,7 @@ def test_nulls_repeats_blocks_and_clean(spark, monkeypatch):
     assert decontam.clean(docs, items.limit(0)).count() == docs.count()
     monkeypatch.setattr(decontam, "ITEM_WORDS", 3)
     assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()) == [(1, 1), (1, 1), (4, 4)]
+    assert sorted(str(r.doc_id) for r in decontam.clean(docs, items).collect()) == ["2", "3", "None"]
 
 
 def test_blocks_propose_every_fingerprint_within_the_radius():
@@ -80,12 +82,29 @@ def test_blocks_propose_every_fingerprint_within_the_radius():
     size = decontam.Size(9, [(i, Counter({rng.getrandbits(64): 1 for _ in range(5)})) for i in range(30)])
     prints = size.prints.copy()
     for i in range(30):
-        for b in rng.sample(range(64), decontam.RADIUS):
-            prints[i] ^= 1 << b
-    found = set(zip(*(v.tolist() for v in size.near(prints))))
+        for b in rng.sample(range(decontam.BITS), decontam.RADIUS):
+            prints[i, b // 32] ^= np.uint32(1 << b % 32)
+    found = set(zip(*(v.tolist() for v in size.near(prints, np.arange(30)))))
     assert {(i, i) for i in range(30)} <= found
 
 
+def test_blocks_propose_few_unrelated_fingerprints():
+    x, y = (np.random.default_rng(k).integers(0, 1 << 32, (2000, decontam.BLOCKS), dtype=np.uint32) for k in (1, 2))
+    least = np.bitwise_count(x[:, None] ^ y[None]).min(axis=2)
+    assert np.mean(least <= decontam.RADIUS // decontam.BLOCKS) < 0.01
+
+
+def test_windows_at_the_threshold_are_within_the_radius():
+    rng = np.random.default_rng(4)
+    apart = []
+    for _ in range(4000):
+        n = int(rng.integers(9, 56))
+        common = -(-8 * n // 9)  # 0.8 at least
+        x = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64)
+        a, b = (decontam.packed(decontam.signs(v).sum(axis=0)[None]) for v in (x[:n], x[n - common :]))
+        apart.append(np.bitwise_count(a ^ b).sum())
+    assert max(apart) <= decontam.RADIUS
+
 
 def test_texts_shorter_than_the_item(spark):
     rng = random.Random(3)
