@@ -33,9 +33,9 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Pre-tokens kept by a Python worker, and the longest that is kept (a bound of memory, not of what is encoded).
-CACHE_WORDS, CACHE_LENGTH = 100_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: Bytes of text that are cut into pre-tokens at a time; a pre-token takes some 15 times its bytes.
-AT_ONCE = 1 << 20
+AT_ONCE = 2 << 20
 
 
 def byte_letters() -> list[str]:
