@@ -37,6 +37,31 @@ SHORT_FROM, SHORT_TO, LONG = _latin_table()
 MARKS = r"\p{M}"
 
 
+def _compatible_table() -> tuple[str, str, dict[str, str]]:
+    """Compatibility forms (full width, ligatures, ordinals, ...) and what they stand for, marks composed."""
+    short, long = {}, {}
+    for code in (*range(0xA0, 0x250), *range(0x2000, 0x2100), *range(0x2100, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKC", c)
+        if plain != c and plain:
+            (short if len(plain) == 1 else long)[c] = plain
+    return "".join(short), "".join(short.values()), long
+
+
+def _composed_table() -> dict[str, str]:
+    """A Latin letter and a mark after it, and the one letter that they make."""
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(code):
+            pairs[unicodedata.normalize("NFC", parts[:-1]) + parts[-1]] = chr(code)
+    return pairs
+
+
+COMPATIBLE_FROM, COMPATIBLE_TO, COMPATIBLE_LONG = _compatible_table()
+COMPOSED = _composed_table()
+
+
 def clean_spaces(c: Column) -> Column:
     """Runs of Unicode white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -69,6 +94,23 @@ def strip_marks(c: Column, exact: bool = False) -> Column:
     return out
 
 
+def compose(c: Column) -> Column:
+    """Compatibility forms resolved and letters joined with the marks after them, for Latin letters; marks in any other
+    than the canonical order, and other scripts, stay as they are."""
+    out = F.translate(c, COMPATIBLE_FROM, COMPATIBLE_TO)
+    rare = F.create_map(*(F.lit(x) for pair in COMPATIBLE_LONG.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(out, ""), lambda x: F.coalesce(F.try_element_at(rare, x), x)), "")
+    out = F.when(out.rlike(f"[{''.join(COMPATIBLE_LONG)}]"), spelled).otherwise(out)
+    known = F.create_map(*(F.lit(x) for pair in COMPOSED.items() for x in pair))
+
+    def joined(done: Column, piece: Column) -> Column:
+        both = F.concat(F.right(done, F.lit(1)), F.left(piece, F.lit(1)))
+        return F.concat(F.left(done, F.length(done) - 1), F.coalesce(F.try_element_at(known, both), both), F.substring(piece, 2, 2**30))
+
+    whole = F.aggregate(F.split(out, rf"(?={MARKS})"), F.lit(""), joined)
+    return F.when(out.rlike(MARKS), whole).otherwise(out)
+
+
 def fold_case(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
@@ -119,12 +161,15 @@ def header_value(tokens: Column) -> Column:
 
 
 def name_key(c: Column, tier: str, exact: bool = False) -> Column:
-    """A name part's key in a tier: case and space; also punctuation; also marks; also word breaks."""
+    """A name part's key in a tier: case and space; also punctuation; also marks; also word breaks.
+
+    Composed and decomposed letters and compatibility forms have one key in every tier.
+    """
     if tier == "exact":
-        return clean_spaces(fold_case(clean_spaces(c)))
+        return clean_spaces(fold_case(clean_spaces(compose(c))))
     if tier not in TIERS:
         raise ValueError(f"unknown tier {tier!r}")
-    text = fold_case(c) if tier == "structural" else fold_case(strip_marks(c, exact))
+    text = fold_case(compose(c)) if tier == "structural" else fold_case(strip_marks(c, exact))
     gap = "" if tier == "compact" else " "
     return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", gap))
 

@@ -47,6 +47,31 @@ def summary(items: DataFrame) -> DataFrame:
     return counts.withColumn("exit_code", F.when(F.col("blocking") > 0, 2).otherwise(0))
 
 
+def report(items: DataFrame) -> DataFrame:
+    """(roster, line): one line an item for a terminal or a text file, with counts and no names."""
+    counts = [F.concat(F.lit(f"{title}="), F.coalesce(F.col(c).cast("string"), F.lit("0"))) for title, c in (
+        ("rows", "n_rows"), ("matched", "n_matched"), ("ambiguous", "n_ambiguous"), ("unmatched", "n_unmatched"), ("missing_photos", "n_missing_photos"), ("issues", "n_issues"))]
+    return items.select("roster", F.concat(F.lit("["), "status", F.lit("] "), F.concat_ws(" ", *counts)).alias("line"))
+
+
+def blockers(rows: DataFrame, n_references: int, wanted: Sequence[str] = ()) -> DataFrame:
+    """(roster, codes) of the rosters whose export has to stop, from rows (roster, id, outcome, nia): an ambiguous row, no
+    usable reference though there are references, optional columns wanted without any reference, a number that two rows'
+    photos would share. Codes are in this order; rosters that may be exported have none and are left out."""
+    from .classes import issues
+
+    number = F.nullif(tx.safe_file_name(F.coalesce(F.trim("nia"), F.lit("")), ""), F.lit(""))
+    own = rows.withColumn("_n", number).groupBy("roster").agg(
+        F.count_if(F.col("outcome") == "ambiguous").alias("_a"), F.count_if(F.col("outcome") == "matched").alias("_m"),
+        F.count("_n").alias("_k"), F.countDistinct(F.lower("_n")).alias("_d"),
+    )
+    codes = issues(
+        ("ambiguous_photo", F.col("_a") > 0), ("no_usable_reference", F.lit(n_references > 0) & (F.col("_m") == 0)),
+        ("columns_without_references", F.lit(bool(wanted) and n_references == 0)), ("duplicate_number", F.col("_k") > F.col("_d")),
+    )
+    return own.select("roster", codes.alias("codes")).where(F.size("codes") > 0)
+
+
 def sheet(rows: DataFrame, nia: bool = True, repetix: bool = False, materia: bool = False, cased: bool = False) -> DataFrame:
     """The output columns; names in written case if asked for, which is presentation only: matching uses the original."""
     name = tx.name_case if cased else (lambda c: c)

@@ -57,20 +57,38 @@ def cascade(photos: DataFrame, references: DataFrame, by: Sequence[str], keys: S
     return links
 
 
+def bigrams(c: Column) -> Column:
+    """The distinct pairs of neighbouring letters; a shorter text is one by itself."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(c, i, F.lit(2))))
+
+
 def scored(photos: DataFrame, references: DataFrame, by: Sequence[str], least: float = RELEVANT) -> DataFrame:
     """(by, id, ref_id, score, surname_score, given_score, same_initials) of pairs in a scope that can reach `least`.
 
-    The lengths bound the score from above, which spares most edit distances.
+    The lengths bound the score from above, which spares most edit distances. From RELEVANT on, pairs meet by their
+    surnames' bigrams: such a score needs a surname similarity of 0.671, so at most 0.329 of the longer surname's letters are
+    edited, each edit spoils two bigrams at most, and of n - 1 bigrams one or more is left whatever n is. A pair meets at the
+    first bigram that the two share.
     """
 
     def folded(rows: DataFrame, tail: str, name: str) -> DataFrame:
-        return rows.select(*by, F.col("id").alias(name), tx.name_key(F.col("surnames"), "folded").alias(f"s_{tail}"), tx.name_key(F.col("given_names"), "folded").alias(f"g_{tail}"))
+        keys = [tx.name_key(F.col(c), "folded").alias(f"{k}_{tail}") for c, k in (("surnames", "s"), ("given_names", "g"))]
+        out = rows.select(*by, F.col("id").alias(name), *keys)
+        if least < RELEVANT:
+            return out
+        out = out.withColumn(f"grams_{tail}", bigrams(F.col(f"s_{tail}")))
+        return out.withColumn("gram", F.explode(f"grams_{tail}"))
 
     def bound(a: Column, b: Column) -> Column:
         longest = F.greatest(a, b)
         return F.when(longest == 0, 1.0).otherwise(1.0 - F.abs(a - b) / longest)
 
-    pairs = folded(photos, "a", "id").join(folded(references, "b", "ref_id"), list(by)) if by else folded(photos, "a", "id").crossJoin(folded(references, "b", "ref_id"))
+    left, right = folded(photos, "a", "id"), folded(references, "b", "ref_id")
+    if least < RELEVANT:
+        pairs = left.join(right, list(by)) if by else left.crossJoin(right)
+    else:
+        pairs = left.join(right, [*by, "gram"]).where(F.col("gram") == F.get(F.array_intersect("grams_a", "grams_b"), F.lit(0)))
     s, g = F.length("s_a"), F.length("g_a")
     s2, g2 = F.length("s_b"), F.length("g_b")
     most = 0.55 * bound(s, s2) + 0.35 * bound(g, g2) + 0.10 * bound(s + g + 1, s2 + g2 + 1)

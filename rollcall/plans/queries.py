@@ -31,25 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # What both engines agree on for Latin text: lower case, no marks, ß as ss.
 FOLD = "replace(strip_accents(lower({0})), 'ß', 'ss')"
-FIRST_LINE = "trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))"
+TEXT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-def first_line(c: str = "text"):
-    return tx.clean_spaces(F.split(F.col(c), "\n", 2)[0])
+@register(f"SELECT doc_id, {TEXT} AS text FROM documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", tx.clean_spaces(F.col("text")).alias("text"))
 
 
-@register(f"SELECT doc_id, {FIRST_LINE} AS first_line FROM documents")
-def clean_first_line(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", first_line().alias("first_line"))
-
-
-@register(f"""WITH a AS (SELECT doc_id, {FIRST_LINE} AS x FROM documents)
+@register(f"""WITH a AS (SELECT doc_id, {TEXT} AS x FROM documents)
     SELECT doc_id, trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '\\s+', ' ', 'g')) AS exact,
         trim(regexp_replace(replace(lower(x), 'ß', 'ss'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS structural,
         trim(regexp_replace({FOLD.format('x')}, '[^a-z0-9]+', ' ', 'g')) AS folded,
         regexp_replace({FOLD.format('x')}, '[^a-z0-9]+', '', 'g') AS compact FROM a""")
 def fold_keys(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", first_line().alias("x"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", tx.clean_spaces(F.col("text")).alias("x"))
     return rows.select("doc_id", *(tx.name_key(F.col("x"), t).alias(t) for t in tx.TIERS))
 
 
@@ -100,13 +96,13 @@ def dup_ids(spark, sf_dir):
     return classes.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_linenumber")
 
 
-COMPACT = f"regexp_replace({FOLD.format(FIRST_LINE)}, '[^a-z0-9]+', '', 'g')"
+COMPACT = f"regexp_replace({FOLD.format(TEXT)}, '[^a-z0-9]+', '', 'g')"
 
 
 @register(f"""SELECT doc_id, k AS identity FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY en DESC, n_chars DESC, doc_id) AS n
     FROM (SELECT doc_id, n_chars, lang = 'en' AS en, {COMPACT} AS k FROM documents)) WHERE n = 1""")
 def priority_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", tx.name_key(first_line(), "compact").alias("identity"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", tx.name_key(tx.clean_spaces(F.col("text")), "compact").alias("identity"))
     return classes.keep_first(rows, ["identity"], [F.desc(F.col("lang") == "en"), F.desc("n_chars"), "doc_id"]).select("doc_id", "identity")
 
 
@@ -129,15 +125,17 @@ def course_specific(spark, sf_dir):
     return found.select("p_brand", "course", F.size("courses").cast("long").alias("n_courses"), "compatible")
 
 
-def people(spark: SparkSession, sf_dir: str, parity: int) -> DataFrame:
-    """A roster made of documents: the first word of a text is the surname, the second the given name; scope lang, source."""
-    words = F.split(tx.clean_spaces(F.col("text")), " ")
-    rows = table(spark, sf_dir, "documents").where(F.floor(F.col("doc_id") / 20) % 2 == parity)
-    return rows.select("lang", "source", F.col("doc_id").alias("id"), words[0].alias("surnames"), F.coalesce(F.get(words, F.lit(1)), F.lit("")).alias("given_names"))
+# A roster made of parts: smaller ones against larger ones of a brand, named by the part and by its type and price in letters.
+WORD = "translate(floor(p_retailprice)::BIGINT::VARCHAR, '0123456789', 'abcdefghij')"
+SCOPE = ["p_brand"]
+PEOPLE = f"p AS (SELECT p_brand, p_size, p_partkey AS id, p_name AS s, p_type || ' ' || {WORD} AS g FROM part)"
+SMALL, LARGE = "SELECT * FROM p WHERE p_size <= 25", "SELECT * FROM p WHERE p_size > 25"
 
 
-PEOPLE = """w AS (SELECT lang, source, doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
-    p AS (SELECT lang, source, doc_id, w[1] AS s, coalesce(w[2], '') AS g FROM w)"""
+def people(spark: SparkSession, sf_dir: str, small: bool) -> DataFrame:
+    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
+    rows = table(spark, sf_dir, "part").where((F.col("p_size") <= 25) == small)
+    return rows.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("surnames"), F.concat_ws(" ", "p_type", word).alias("given_names"))
 
 
 def _tier_sql(c: str) -> list[tuple[str, str]]:
@@ -150,80 +148,91 @@ def _tier_sql(c: str) -> list[tuple[str, str]]:
     ]
 
 
-def _cascade_sql(scope: list[str]) -> tuple[str, str]:
-    """CTEs up to the links of each tier, and the union of all."""
+def cascade_sql(scope: list[str], small: str, large: str, *ctes_before: str) -> tuple[str, str]:
+    """CTEs up to the links of each tier, from the sides' SQL (scope, id, s, g), and the union of all links."""
     by = ", ".join(scope)
     on = " AND ".join(f"a.{c} = b.{c}" for c in scope)
-    ctes = [PEOPLE, f"""k AS (SELECT *, {', '.join(f"{x} || chr(31) || {y} AS {m}" for (m, x), (_, y) in zip(_tier_sql('s'), _tier_sql('g')))} FROM p)""",
-            "a0 AS (SELECT * FROM k WHERE (doc_id // 20) % 2 = 0)", "b0 AS (SELECT * FROM k WHERE (doc_id // 20) % 2 = 1)"]
+    keys = ", ".join(f"{x} || chr(31) || {y} AS {m}" for (m, x), (_, y) in zip(_tier_sql("s"), _tier_sql("g")))
+    ctes = [*ctes_before, f"a0 AS (SELECT *, {keys} FROM ({small}))", f"b0 AS (SELECT *, {keys} FROM ({large}))"]
     for i, m in enumerate(tx.TIERS):
-        one = lambda side, m=m, i=i: f"(SELECT {by}, {m}, min(doc_id) AS id FROM {side}{i} GROUP BY {by}, {m} HAVING count(*) = 1)"
+        one = lambda side, m=m, i=i: f"(SELECT {by}, {m}, min(id) AS id FROM {side}{i} GROUP BY {by}, {m} HAVING count(*) = 1)"
         ctes += [
             f"l{i} AS (SELECT {', '.join('a.' + c for c in scope)}, a.id AS id, b.id AS ref_id, '{m}' AS method FROM {one('a')} a JOIN {one('b')} b ON {on} AND a.{m} = b.{m})",
-            f"a{i + 1} AS (SELECT * FROM a{i} WHERE doc_id NOT IN (SELECT id FROM l{i}))",
-            f"b{i + 1} AS (SELECT * FROM b{i} WHERE doc_id NOT IN (SELECT ref_id FROM l{i}))",
+            f"a{i + 1} AS (SELECT a.* FROM a{i} a ANTI JOIN l{i} b ON {on} AND a.id = b.id)",
+            f"b{i + 1} AS (SELECT a.* FROM b{i} a ANTI JOIN l{i} b ON {on} AND a.id = b.ref_id)",
         ]
     return ", ".join(ctes), " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(len(tx.TIERS)))
 
 
-SCOPE = ["lang", "source"]
-CASCADE, CASCADE_LINKS = _cascade_sql(SCOPE)
+CASCADE, CASCADE_LINKS = cascade_sql(SCOPE, SMALL, LARGE, PEOPLE)
 
 
 @register(f"WITH {CASCADE} {CASCADE_LINKS}")
 def unique_cascade(spark, sf_dir):
-    return match.cascade(people(spark, sf_dir, 0), people(spark, sf_dir, 1), SCOPE)
+    return match.cascade(people(spark, sf_dir, True), people(spark, sf_dir, False), SCOPE)
 
 
 def _similar(a: str, b: str) -> str:
     return f"CASE WHEN greatest(length({a}), length({b})) = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b})) END"
 
 
-FUZZY = f"""f AS (SELECT lang, source, doc_id, {_tier_sql('s')[2][1]} AS s, {_tier_sql('g')[2][1]} AS g FROM p),
-    x AS (SELECT a.lang, a.source, a.doc_id AS id, b.doc_id AS ref_id, {_similar('a.s', 'b.s')} AS ss, {_similar('a.g', 'b.g')} AS gs,
-        {_similar("(a.s || ' ' || a.g)", "(b.s || ' ' || b.g)")} AS fs,
-        a.s <> '' AND a.g <> '' AND a.s[1] = b.s[1] AND a.g[1] = b.g[1] AS initials
-        FROM f a JOIN f b ON a.lang = b.lang AND a.source = b.source AND (a.doc_id // 20) % 2 = 0 AND (b.doc_id // 20) % 2 = 1 WHERE {{survivors}}),
+def fuzzy_sql(scope: list[str], small: str = "a4", large: str = "b4") -> str:
+    """CTEs y (all pairs with their scores) and fuzzy (links) of two sides with the columns of cascade_sql; scores are those
+    of distinct keys, so equal names are compared once."""
+    by, folded = ", ".join(scope), "string_split(folded, chr(31))"
+    on = " AND ".join(f"a.{c} = b.{c}" for c in scope)
+    return f"""fa AS (SELECT *, {folded}[1] AS fs, {folded}[2] AS fg FROM {small}), fb AS (SELECT *, {folded}[1] AS fs, {folded}[2] AS fg FROM {large}),
+    x AS (SELECT {', '.join('a.' + c for c in scope)}, a.id AS id, b.id AS ref_id, {_similar('a.fs', 'b.fs')} AS ss, {_similar('a.fg', 'b.fg')} AS gs,
+        {_similar("(a.fs || ' ' || a.fg)", "(b.fs || ' ' || b.fg)")} AS fs,
+        a.fs <> '' AND a.fg <> '' AND a.fs[1] = b.fs[1] AND a.fg[1] = b.fg[1] AS initials FROM fa a JOIN fb b ON {on}),
     y AS (SELECT *, 0.55::DOUBLE * ss + 0.35::DOUBLE * gs + 0.10::DOUBLE * fs AS score FROM x),
     z AS (SELECT *, row_number() OVER m AS r, lead(score) OVER m AS nxt, row_number() OVER t AS rr, lead(score) OVER t AS rnxt FROM y
-        WINDOW m AS (PARTITION BY lang, source, id ORDER BY score DESC, ref_id DESC), t AS (PARTITION BY lang, source, ref_id ORDER BY score DESC, id DESC)),
-    fuzzy AS (SELECT lang, source, id, ref_id, 'fuzzy' AS method FROM z WHERE r = 1 AND rr = 1 AND coalesce(score - nxt, 1.0::DOUBLE) >= 0.08::DOUBLE
+        WINDOW m AS (PARTITION BY {by}, id ORDER BY score DESC, ref_id DESC), t AS (PARTITION BY {by}, ref_id ORDER BY score DESC, id DESC)),
+    fuzzy AS (SELECT {by}, id, ref_id, 'fuzzy' AS method FROM z WHERE r = 1 AND rr = 1 AND coalesce(score - nxt, 1.0::DOUBLE) >= 0.08::DOUBLE
         AND coalesce(score - rnxt, 1.0::DOUBLE) >= 0.08::DOUBLE AND initials AND score >= 0.90::DOUBLE
         AND CASE WHEN ss = 1.0::DOUBLE OR gs = 1.0::DOUBLE THEN least(ss, gs) >= 0.82::DOUBLE ELSE ss >= 0.90::DOUBLE AND gs >= 0.90::DOUBLE END)"""
 
 
-@register(f"WITH {PEOPLE}, {FUZZY.format(survivors='TRUE')} SELECT * FROM fuzzy")
+@register(f"WITH {CASCADE}, {fuzzy_sql(SCOPE, 'a0', 'b0')} SELECT * FROM fuzzy")
 def fuzzy_mutual(spark, sf_dir):
-    return match.mutual_best(match.scored(people(spark, sf_dir, 0), people(spark, sf_dir, 1), SCOPE), SCOPE)
+    return match.mutual_best(match.scored(people(spark, sf_dir, True), people(spark, sf_dir, False), SCOPE), SCOPE)
 
 
-@register(f"""WITH {CASCADE}, {FUZZY.format(survivors='a.doc_id IN (SELECT doc_id FROM a4) AND b.doc_id IN (SELECT doc_id FROM b4)')},
+@register(f"""WITH {CASCADE}, {fuzzy_sql(SCOPE)},
     links AS ({CASCADE_LINKS} UNION ALL SELECT * FROM fuzzy),
-    twin AS (SELECT DISTINCT a.doc_id FROM a4 a JOIN b4 b ON a.lang = b.lang AND a.source = b.source AND a.compact = b.compact),
+    twin AS (SELECT DISTINCT a.id FROM a4 a JOIN b4 b ON a.p_brand = b.p_brand AND a.compact = b.compact),
     near AS (SELECT DISTINCT id FROM y WHERE score >= 0.84::DOUBLE)
-    SELECT p.lang, p.source, p.doc_id AS id, CASE WHEN l.id IS NOT NULL THEN 'matched'
-        WHEN p.doc_id IN (SELECT doc_id FROM twin) OR p.doc_id IN (SELECT id FROM near) THEN 'ambiguous' ELSE 'unmatched' END AS outcome
-    FROM p LEFT JOIN links l ON p.doc_id = l.id WHERE (p.doc_id // 20) % 2 = 0""")
+    SELECT a0.p_brand, a0.id, CASE WHEN l.id IS NOT NULL THEN 'matched'
+        WHEN a0.id IN (SELECT id FROM twin) OR a0.id IN (SELECT id FROM near) THEN 'ambiguous' ELSE 'unmatched' END AS outcome
+    FROM a0 LEFT JOIN links l ON a0.id = l.id""")
 def link_outcomes(spark, sf_dir):
-    """Given names have one word here, so nothing is rescued by word subsequences."""
-    _, outcomes = match.link(people(spark, sf_dir, 0), people(spark, sf_dir, 1), SCOPE)
+    """Given names have two words on either side, so nothing is rescued by word subsequences."""
+    _, outcomes = match.link(people(spark, sf_dir, True), people(spark, sf_dir, False), SCOPE)
     return outcomes
 
 
-@register("""WITH w AS (SELECT source, doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
-    f AS (SELECT source, doc_id, regexp_replace(replace(strip_accents(lower(w[1])), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS s,
-        [x FOR x IN string_split(trim(regexp_replace(replace(strip_accents(lower(array_to_string(w[2:CASE WHEN (doc_id // 20) % 2 = 0 THEN 2 ELSE 3 END], ' '))), 'ß', 'ss'), '[^a-z0-9_]+', ' ', 'g')), ' ') IF x <> ''] AS t FROM w),
-    c AS (SELECT a.source, a.doc_id AS id, b.doc_id AS ref_id FROM f a JOIN f b ON a.source = b.source AND a.s = b.s AND a.s <> '' AND (a.doc_id // 20) % 2 = 0 AND (b.doc_id // 20) % 2 = 1
-        WHERE len(a.t) <> len(b.t) AND ((len(a.t) = 1 AND list_contains(b.t, a.t[1])) OR (len(b.t) = 1 AND list_contains(a.t, b.t[1]))))
-    SELECT source, id, ref_id, 'given_tokens' AS method FROM (SELECT *, count(*) OVER (PARTITION BY source, id) AS n, count(*) OVER (PARTITION BY source, ref_id) AS m FROM c) WHERE n = 1 AND m = 1""")
+@register(f"""WITH f AS (SELECT p_type, p_size, p_partkey, p_name, {WORD} AS w, lower(p_brand) AS b FROM part),
+    c AS (SELECT a.p_type, a.p_partkey AS id, b.p_partkey AS ref_id FROM f a JOIN f b ON a.p_type = b.p_type AND a.p_name = b.p_name AND a.w = b.w AND a.p_size <= 25 AND b.p_size > 25)
+    SELECT p_type, id, ref_id, 'given_tokens' AS method FROM (SELECT *, count(*) OVER (PARTITION BY p_type, id) AS n, count(*) OVER (PARTITION BY p_type, ref_id) AS m FROM c) WHERE n = 1 AND m = 1""")
 def token_rescue(spark, sf_dir):
-    def side(parity: int, words: int) -> DataFrame:
-        w = F.split(tx.clean_spaces(F.col("text")), " ")
-        given = F.array_join(F.slice(w, 2, words), " ")
-        rows = table(spark, sf_dir, "documents").where(F.floor(F.col("doc_id") / 20) % 2 == parity)
-        return rows.select("source", F.col("doc_id").alias("id"), F.regexp_replace(tx.name_key(w[0], "compact"), "[^a-z0-9]", "").alias("surnames"), given.alias("given_names"))
+    return match.token_rescue(*rescue_sides(spark, sf_dir), ["p_type"])
+
+
+def rescue_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Smaller parts with the price in letters as given name, larger ones with the brand after it."""
+    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
+    part = table(spark, sf_dir, "part")
+    sides = ((part.where("p_size <= 25"), word), (part.where("p_size > 25"), F.concat_ws(" ", word, "p_brand")))
+    return [rows.select("p_type", F.col("p_partkey").alias("id"), F.col("p_name").alias("surnames"), given.alias("given_names")) for rows, given in sides]
 
-    return match.token_rescue(side(0, 1), side(1, 2), ["source"])
+
+@register(f"""WITH f AS (SELECT p_type, p_size, p_partkey, p_name, {WORD} AS w FROM part),
+    c AS (SELECT a.p_type, a.p_partkey AS id, b.p_partkey AS ref_id FROM f a JOIN f b ON a.p_type = b.p_type AND a.p_name = b.p_name AND a.w = b.w AND a.p_size <= 25 AND b.p_size > 25)
+    SELECT p_type, id, ref_id, 'shorter' AS relation, true AS same_first, false AS same_last, 1 AS n_tokens, 3 AS n_ref_tokens
+    FROM (SELECT *, count(*) OVER (PARTITION BY p_type, id) AS n, count(*) OVER (PARTITION BY p_type, ref_id) AS m FROM c) WHERE n = 1 AND m = 1""")
+def partial_names(spark, sf_dir):
+    sides = rescue_sides(spark, sf_dir)
+    return match.partial_names(*sides, match.token_rescue(*sides, ["p_type"]), ["p_type"])
 
 
 @register("""SELECT o_orderkey, o_custkey, coalesce(c_name, '') AS c_name, CASE WHEN c_custkey IS NULL THEN 'WARNING' WHEN o_totalprice > 400000 THEN 'REVIEW'
@@ -257,12 +266,10 @@ def unresolved_anti(spark, sf_dir):
 @register("""SELECT s_suppkey AS id, c_custkey FROM (SELECT s_suppkey, c_custkey, row_number() OVER (PARTITION BY s_suppkey ORDER BY abs(c_acctbal - s_acctbal), c_custkey) AS n
     FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal >= s_acctbal) WHERE n = 1""")
 def nearest(spark, sf_dir):
-    from ..operators.layout import nearest as closest
-
-    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), "s_acctbal")
-    right = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    distance = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return closest(left, right, ["nation"], F.col("c_acctbal") >= F.col("s_acctbal"), [distance], ["c_custkey"]).select("id", "c_custkey")
+    """The customer of a supplier's nation with the least balance not below the supplier's, in one sorted pass."""
+    left = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    right = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", F.col("c_acctbal").alias("balance"))
+    return assign.as_of(left, right, ["nation"], "balance", ["c_custkey"]).select("id", "c_custkey")
 
 
 @register("""SELECT a.event_id, count(b.event_id)::BIGINT AS n_between FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'signup') a
@@ -283,20 +290,19 @@ def safe_names(spark, sf_dir):
     return classes.numbered_names(rows, [], "safe", ["p_partkey"]).select("p_partkey", "file_name")
 
 
-@register("""WITH t AS (SELECT doc_id, unnest(string_split_regex(trim(text), '\\s+')) AS w FROM documents),
-    m AS (SELECT doc_id, CASE WHEN regexp_full_match(w, '[0-9]+') THEN '<NUM:' || length(w) || '>' ELSE '<L:' || length(regexp_replace(w, '[^\\p{L}]', '', 'g'))
-        || ':D:' || length(regexp_replace(w, '[^\\p{N}]', '', 'g')) || '>' END AS shown FROM t)
-    SELECT shown, count(*)::BIGINT AS n FROM m GROUP BY shown""")
+@register("""WITH t AS (SELECT unnest(string_split_regex(trim(text), '\\s+')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM t GROUP BY w),
+    k AS (SELECT *, regexp_replace(upper(strip_accents(w)), '[^\\p{L}\\p{N}]', '', 'g') AS token, length(regexp_replace(w, '[^\\p{L}]', '', 'g')) AS l, length(regexp_replace(w, '[^\\p{Nd}]', '', 'g')) AS d,
+        length(regexp_replace(w, '[\\p{L}\\p{Nd},''’-]', '', 'g')) AS p FROM c),
+    m AS (SELECT n, CASE WHEN token IN ('ORDE', 'NIA', 'REPETIX', 'COGNOMS', 'I', 'NOM', 'MATERIA', 'MODUL') THEN token WHEN upper(w) = 'R' THEN 'R' WHEN regexp_full_match(w, '[0-9]+') THEN '<NUM:' || length(w) || '>'
+        WHEN w = '' THEN '<EMPTY>' ELSE '<' || concat_ws(':', CASE WHEN l > 0 THEN 'L' || l END, CASE WHEN d > 0 THEN 'D' || d END, CASE WHEN contains(w, ',') THEN 'COMMA' END, CASE WHEN contains(w, '-') THEN 'HYPHEN' END,
+            CASE WHEN contains(w, chr(39)) OR contains(w, '’') THEN 'APOST' END, CASE WHEN p > 0 THEN 'P' || p END) || '>' END AS shown FROM k)
+    SELECT shown, sum(n)::BIGINT AS n FROM m GROUP BY shown""")
 def shape_mask(spark, sf_dir):
     w = F.explode(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " "))
-    shape = redact.shape(F.col("w"))
-    letters = F.regexp_extract(shape, "L([0-9]+)", 1)
-    numbers = F.regexp_extract(shape, "D([0-9]+)", 1)
-    shown = F.when(tx.is_numeric(F.col("w")), redact.mask(F.col("w"))).otherwise(F.concat(F.lit("<L:"), letters, F.lit(":D:"), numbers, F.lit(">")))
-    return table(spark, sf_dir, "documents").select(w.alias("w")).groupBy(shown.alias("shown")).agg(F.count(F.lit(1)).alias("n"))
+    return redact.shape_counts(table(spark, sf_dir, "documents").select(w.alias("w")))
 
 
-@register(f"WITH {CASCADE}, l AS ({CASCADE_LINKS}) SELECT lang, source, method, count(*)::BIGINT AS n FROM l GROUP BY ALL")
+@register(f"WITH {CASCADE}, l AS ({CASCADE_LINKS}) SELECT p_brand, method, count(*)::BIGINT AS n FROM l GROUP BY ALL")
 def method_counts(spark, sf_dir):
     return match.method_counts(unique_cascade(spark, sf_dir), SCOPE)
 
@@ -312,7 +318,7 @@ def summary_counts(spark, sf_dir):
 @register("""SELECT user_id, event_id, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM
     (SELECT user_id, event_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 1 DAY AS gap FROM events)""")
 def gap_sessions(spark, sf_dir):
-    """Runs told apart by a gap instead of an ordinal: what row clustering approximates on sorted values."""
+    """Sections that a gap in time opens."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     gap = F.col("ts") - F.lag("ts").over(w) > F.expr("INTERVAL 1 DAY")
@@ -321,12 +327,15 @@ def gap_sessions(spark, sf_dir):
 
 
 @register(f"""WITH {CASCADE}, l AS ({CASCADE_LINKS})
-    SELECT p.lang, p.source, p.doc_id AS id, p.s AS "Apellidos", p.g AS "Nombre", coalesce(l.method, '') AS method, coalesce(d.n_chars::VARCHAR, '') AS nia
-    FROM p LEFT JOIN l ON p.doc_id = l.id LEFT JOIN documents d ON l.ref_id = d.doc_id WHERE (p.doc_id // 20) % 2 = 0""")
+    SELECT a0.p_brand, a0.id, a0.s AS "Apellidos", a0.g AS "Nombre", coalesce(l.method, '') AS method, coalesce(d.p_size::VARCHAR, '') AS nia
+    FROM a0 LEFT JOIN l ON a0.id = l.id LEFT JOIN part d ON l.ref_id = d.p_partkey""")
 def flagship_roster(spark, sf_dir):
-    """Link the even documents' names to the odd ones' one to one, and export every roster row with what its link adds."""
-    roster = people(spark, sf_dir, 0)
-    references = people(spark, sf_dir, 1).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").cast("string").alias("nia")), "id")
+    """Link the smaller parts' names to the larger ones' one to one, and export every roster row with what its link adds."""
+    roster = people(spark, sf_dir, True)
+    references = people(spark, sf_dir, False).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("string").alias("nia")), "id")
     links = match.cascade(roster, references.drop("nia"), SCOPE)
     rows = enrich.enrich(roster, links, references, SCOPE, ["nia"])
     return rows.select(*SCOPE, "id", F.col("surnames").alias("Apellidos"), F.col("given_names").alias("Nombre"), "method", "nia")
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries

@@ -21,6 +21,15 @@ def class_names(classes: DataFrame, group: str = "group_code") -> DataFrame:
     return numbered_names(named, [], "_base", ["source", "class_key"], "file_name", every=False).drop("_base")
 
 
+def free_names(wanted: DataFrame, taken: DataFrame, name: str = "name") -> DataFrame:
+    """wanted with `free`: its name, or name__2, name__3, ... the first that no folder in taken (name) has."""
+    used = taken.select(F.regexp_extract(name, r"^(.*?)(?:__([0-9]+))?$", 1).alias("_base"), F.coalesce(F.regexp_extract(name, r"__([0-9]+)$", 1).try_cast("int"), F.lit(1)).alias("_k"))
+    own = wanted.select(F.col(name).alias("_base")).join(used, "_base").groupBy("_base").agg(F.array_sort(F.collect_set("_k")).alias("_ks"))
+    first = F.array_min(F.filter(F.sequence(F.lit(1), F.size("_ks") + 1), lambda k: ~F.array_contains("_ks", k)))
+    out = wanted.join(own.select("_base", first.alias("_k")), wanted[name] == F.col("_base"), "left")
+    return out.withColumn("free", F.when(F.coalesce("_k", F.lit(1)) == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit("__"), F.col("_k").cast("string")))).drop("_base", "_k")
+
+
 def write_csv(rows: DataFrame, folder: str, name: str = "file_name") -> None:
     """A folder `file_name=...` for each class, written by its own tasks."""
     rows.repartition(name).write.mode("errorifexists").partitionBy(name).option("header", True).csv(folder)

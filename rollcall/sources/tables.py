@@ -19,8 +19,10 @@ def read(spark: SparkSession, path: str, schema: str, format: str = "parquet") -
 
 
 def document_files(spark: SparkSession, paths: Sequence[str], recursive: bool = True, suffix: str = "pdf") -> DataFrame:
-    """(path, length) of the documents under files and folders, each once, by path without case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", f"*.[{suffix[0].lower()}{suffix[0].upper()}]{suffix[1:]}").load(list(paths))
+    """(path, length) of the documents under files and folders, each once, by path without case, the suffix in any case;
+    a path that is missing is an error."""
+    pattern = "*." + "".join(f"[{x.lower()}{x.upper()}]" for x in suffix)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(list(paths))
     return files.select("path", "length").dropDuplicates(["path"]).orderBy(F.lower("path"))
 
 
