@@ -125,17 +125,30 @@ def course_specific(spark, sf_dir):
     return found.select("p_brand", "course", F.size("courses").cast("long").alias("n_courses"), "compatible")
 
 
-# A roster made of parts: smaller ones against larger ones of a brand, named by the part and by its type and price in letters.
-WORD = "translate(floor(p_retailprice)::BIGINT::VARCHAR, '0123456789', 'abcdefghij')"
+# A roster made of parts: smaller ones against larger ones of a brand, named by the part and by its type and price's last
+# digit as a letter. Larger parts' names are written in four ways, one for each tier of keys.
+WORD = "translate(right(floor(p_retailprice)::BIGINT::VARCHAR, 1), '0123456789', 'abcdefghij')"
+SURNAMES = """CASE WHEN p_size <= 25 OR p_size % 4 = 3 THEN p_name WHEN p_size % 4 = 0 THEN replace(p_name, ' ', '-')
+    WHEN p_size % 4 = 1 THEN replace(p_name, 'o', 'ó') ELSE replace(p_name, ' ', '') END"""
 SCOPE = ["p_brand"]
-PEOPLE = f"p AS (SELECT p_brand, p_size, p_partkey AS id, p_name AS s, p_type || ' ' || {WORD} AS g FROM part)"
+PEOPLE = f"p AS (SELECT p_brand, p_size, p_partkey AS id, {SURNAMES} AS s, p_type || ' ' || {WORD} AS g FROM part)"
 SMALL, LARGE = "SELECT * FROM p WHERE p_size <= 25", "SELECT * FROM p WHERE p_size > 25"
 
 
+def word():
+    return F.translate(F.right(F.floor("p_retailprice").cast("string"), F.lit(1)), "0123456789", "abcdefghij")
+
+
+def named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts with surnames and given_names."""
+    way = F.col("p_size") % 4
+    surnames = F.when((F.col("p_size") <= 25) | (way == 3), F.col("p_name")).when(way == 0, F.translate("p_name", " ", "-")).when(way == 1, F.translate("p_name", "o", "ó"))
+    return table(spark, sf_dir, "part").withColumns({"surnames": surnames.otherwise(F.translate("p_name", " ", "")), "given_names": F.concat_ws(" ", "p_type", word())})
+
+
 def people(spark: SparkSession, sf_dir: str, small: bool) -> DataFrame:
-    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
-    rows = table(spark, sf_dir, "part").where((F.col("p_size") <= 25) == small)
-    return rows.select("p_brand", F.col("p_partkey").alias("id"), F.col("p_name").alias("surnames"), F.concat_ws(" ", "p_type", word).alias("given_names"))
+    rows = named(spark, sf_dir).where((F.col("p_size") <= 25) == small)
+    return rows.select("p_brand", F.col("p_partkey").alias("id"), "surnames", "given_names")
 
 
 def _tier_sql(c: str) -> list[tuple[str, str]]:
@@ -220,9 +233,8 @@ def token_rescue(spark, sf_dir):
 
 def rescue_sides(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """Smaller parts with the price in letters as given name, larger ones with the brand after it."""
-    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
     part = table(spark, sf_dir, "part")
-    sides = ((part.where("p_size <= 25"), word), (part.where("p_size > 25"), F.concat_ws(" ", word, "p_brand")))
+    sides = ((part.where("p_size <= 25"), word()), (part.where("p_size > 25"), F.concat_ws(" ", word(), "p_brand")))
     return [rows.select("p_type", F.col("p_partkey").alias("id"), F.col("p_name").alias("surnames"), given.alias("given_names")) for rows, given in sides]
 
 

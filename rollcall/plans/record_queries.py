@@ -12,7 +12,7 @@ from ..operators import assign, classes, enrich, grid, layout, match, redact
 from ..sources import sinks
 from ..sources.shared import stash
 from . import convert
-from .queries import cascade_sql, fuzzy_sql, register, table
+from .queries import SURNAMES, WORD, cascade_sql, fuzzy_sql, named, register, table
 
 W, H = 595.0, 842.0
 # One line of an order with its number k from 1, and the names that stand for people.
@@ -185,7 +185,7 @@ def numbered_roster(spark, sf_dir):
 
 
 # Rosters of a brand's smaller parts, all larger ones as references, by documents and classes of one size; every fifth is invalid.
-NAMES = "p_name AS s, p_type || ' ' || translate(floor(p_retailprice)::BIGINT::VARCHAR, '0123456789', 'abcdefghij') AS g"
+NAMES = f"{SURNAMES} AS s, p_type || ' ' || {WORD} AS g"
 FLOW = f"""m AS (SELECT 'ref' || p_size AS source, p_partkey AS id, p_brand, {NAMES} FROM part WHERE p_size > 25 AND p_size % 5 <> 0),
     ra AS (SELECT p_brand AS roster, p_partkey AS id, {NAMES} FROM part WHERE p_size <= 25),
     rb AS (SELECT roster, m.id, s, g FROM (SELECT DISTINCT roster FROM ra), m)"""
@@ -194,8 +194,7 @@ FLOW_CASCADE, FLOW_LINKS = cascade_sql(["roster"], "SELECT * FROM ra", "SELECT *
 
 def flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """(roster, groups, classes, members) of the linkage queries."""
-    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
-    part = table(spark, sf_dir, "part").withColumns({"surnames": F.col("p_name"), "given_names": F.concat_ws(" ", "p_type", word)})
+    part = named(spark, sf_dir)
     roster = part.where("p_size <= 25").select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("id"), F.lit(1).alias("xref"), "surnames", "given_names")
     source = F.concat(F.lit("ref"), F.col("p_size").cast("string")).alias("source")
     members = part.where("p_size > 25").select(
@@ -327,8 +326,7 @@ def layout_report(spark, sf_dir):
        for k, u, v in (("s", "lower(a.s)", "lower(b.s)"), ("g", "lower(a.g)", "lower(b.g)"), ("f", "lower(a.s || ' ' || a.g)", "lower(b.s || ' ' || b.g)"))}))
 def unresolved_scores(spark, sf_dir):
     """For rows that nothing links, the best score among the references, without any name."""
-    word = F.translate(F.floor("p_retailprice").cast("string"), "0123456789", "abcdefghij")
-    part = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), "p_size", F.col("p_name").alias("surnames"), F.concat_ws(" ", "p_type", word).alias("given_names"))
+    part = named(spark, sf_dir).select("p_brand", F.col("p_partkey").alias("id"), "p_size", "surnames", "given_names")
     none = spark.createDataFrame([], "p_brand string, id long, ref_id long")
     found = match.unresolved(part.where("p_size <= 3"), part.where("p_size > 3 and p_size <= 12"), none, ["p_brand"])
     return found.select("p_brand", "id", F.round("score", 9).alias("score"), "n_surname_tokens", "n_given_tokens")
