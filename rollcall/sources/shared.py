@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. A temporary one of this machine only where that is unset (local mode)."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder. A temporary one of this machine only where
+    both are unset and all runs on this machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            return own.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='rollcall-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -27,4 +33,13 @@ def stash(df: DataFrame, files: int | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df = df if files is None else df.coalesce(max(1, files))
     df.write.option("compression", "snappy").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Delete the files of stashes that nothing reads any more."""
+    for df in stashes:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
