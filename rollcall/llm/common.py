@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.sources.shared import shared_dir, stash  # noqa: F401
+from rollcall.sources.shared import discard, shared_dir, stash  # noqa: F401
 
 
 #: Bytes of an Arrow batch.
