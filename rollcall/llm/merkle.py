@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import stash
 
@@ -63,6 +64,10 @@ def edits(a: str, b: str) -> Column:
     return F.expr(f"transform(array_except({places(a)}, {places(b)}), x -> x.at)")
 
 
+#: Keys drawn for each range where keys have no quantiles.
+SAMPLED = 20
+
+
 def successors(ids: DataFrame, key: str) -> DataFrame:
     """(rid, next) of rows (rid, key): who follows whom by descending key, rid on ties; the last is followed by the first.
 
@@ -71,7 +76,12 @@ def successors(ids: DataFrame, key: str) -> DataFrame:
     """
     n = ids.count()
     k = max(RANGES[0], min(RANGES[1], n // ROWS))
-    cuts = ids.select(F.percentile_approx(key, [i / k for i in range(1, k)], 10_000)).first()[0] or []
+    if isinstance(ids.schema[key].dataType, NumericType):
+        cuts = ids.select(F.percentile_approx(key, [i / k for i in range(1, k)], 10_000)).first()[0] or []
+    else:  # SAMPLED keys a range, drawn by their rows' digests; they decide on the ranges' sizes only
+        drawn = ids.where(F.col(key).isNotNull()).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLED * k).select(key).collect()
+        drawn = sorted(x[0] for x in drawn)
+        cuts = [drawn[len(drawn) * i // k] for i in range(1, k)] if drawn else []
     cuts = sorted(set(cuts))
 
     def place(lo: int, hi: int) -> Column:

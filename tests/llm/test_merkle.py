@@ -60,3 +60,13 @@ def test_branches_locate_an_edit(spark):
     df = spark.createDataFrame([("a b\nc d\n\ne f\ng h", "a b\nc X\n\ne f\ng h")], "x string, y string")
     both = merkle.tree(merkle.tree(df, "x", "fx"), "y", "fy")
     assert both.select(merkle.edits("fx", "fy").alias("e")).first().e == ["0.1"]
+
+
+def test_string_keys_follow_each_other_like_numbers(spark):
+    texts = [f"word{i} some more words of text {i}\n\nanother section {i}" for i in range(40)] + [None, ""]
+    plain = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    named = plain.withColumn("doc_id", plain.doc_id.cast("string"))
+    columns = ["edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    got = {r.doc_id: r[1:] for r in merkle.report(named).select("doc_id", *columns).collect()}
+    want = {str(r.doc_id): r[1:] for r in merkle.report(plain).select("doc_id", *columns).collect()}
+    assert got == want
