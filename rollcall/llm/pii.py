@@ -130,17 +130,17 @@ def candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     checked = found.select("key", "text", *(
         (spans.kept(k, lambda h, k=k: passes(k, h)) if k in BASE else F.col(k)).alias(k) for k in KINDS
     ))
-    taken = F.concat(*(F.col(k) for k in BASE))
-    free = lambda x: ~F.exists(taken, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-    checked = checked.select("key", "text", *BASE, *(F.filter(k, free).alias(k) for k in WEAK))
+    checked = checked.select("*", F.concat(*BASE).alias("_taken"), spans.pieces("text").alias("_pieces"))
+    free = lambda x: ~F.exists("_taken", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    seen = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"), spans.ahead("_pieces", x["start"], CONTEXT).alias("ahead"))
+    checked = checked.select("key", "text", *(F.transform(k if k in BASE else F.filter(k, free), seen).alias(k) for k in KINDS))
 
     def cell(i: int, kind: str):
         def of(x: Column) -> Column:
-            ahead = F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT)))
             long = F.when(F.length(x["hit"]) < 12, "s").when(F.length(x["hit"]) < 24, "m").otherwise("l")
             return F.struct(
                 F.lit(i).alias("k"), x["start"].alias("start"), x["end"].alias("end"),
-                F.concat_ws("|", F.lit(kind), *(v.cast("string") for v in votes(kind, x["hit"], ahead)), long).alias("cell"),
+                F.concat_ws("|", F.lit(kind), *(v.cast("string") for v in votes(kind, x["hit"], x["ahead"])), long).alias("cell"),
             )
 
         return of

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Code points of a piece of a text, spans that are masked together.
+PIECE, LOT = 4096, 256
 
 
 def add(df: DataFrame, text: str, found: dict[str, str]) -> DataFrame:
@@ -73,12 +75,43 @@ def luhn(digits: Column) -> Column:
     return (F.length(digits) > 0) & (total % 10 == 0)
 
 
+def pieces(text: str) -> Column:
+    """array<string>: the text in pieces of PIECE code points, so that looking up a place doesn't walk through a long text."""
+    return F.when(F.length(text) > PIECE, F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))).otherwise(F.array(F.col(text)))
+
+
+def ahead(pieces: str, start: Column, n: int) -> Column:
+    """The n code points (n <= PIECE) before place `start` of the text, fewer at its beginning."""
+
+    def cut(c: Column, at: Column) -> Column:
+        return F.substring(c, F.greatest(at - n, F.lit(0)) + 1, F.least(at, F.lit(n)))
+
+    k = F.floor(start / PIECE).cast("int")
+    two = F.concat(F.get(pieces, k - 1), F.get(pieces, k))
+    return F.when(k == 0, cut(F.get(pieces, F.lit(0)), start)).otherwise(cut(two, start - (k - 1) * PIECE))
+
+
 def masked(df: DataFrame, text: str, spans: str) -> DataFrame:
-    """df with text in which each maximal run of overlapping spans (array<struct<start, end, mark>>) became its first mark."""
-    runs = F.expr(f"""aggregate(
-        array_sort({spans}),
-        named_struct('out', '', 'at', 0),
-        (s, x) -> if(x.start < s.at, named_struct('out', s.out, 'at', greatest(s.at, x.end)),
-            named_struct('out', concat(s.out, substring({text}, s.at + 1, x.start - s.at), x.mark), 'at', x.end)),
-        s -> concat(s.out, substring({text}, s.at + 1)))""")
-    return df.withColumn(text, F.when(F.size(spans) > 0, runs).otherwise(F.col(text)))
+    """df with text in which each maximal run of overlapping spans (array<struct<start, end, mark>>) became its first mark.
+
+    Spans are taken LOT at a time, from the last place masked before them on, so a text with many spans doesn't cost its length
+    for each of them.
+    """
+    lots = "transform(sequence(0, cast((size(_sorted) - 1) div {b} as int)), k -> {of})"
+    own = f"slice(_sorted, k * {LOT} + 1, {LOT})"
+    steps = {
+        "_sorted": f"array_sort({spans})",
+        "_ends": lots.format(b=LOT, of=f"array_max(transform({own}, x -> x.end))"),
+        "_from": lots.format(b=LOT, of="coalesce(array_max(slice(_ends, 1, k)), 0)"),
+        "_lots": lots.format(b=LOT, of=f"""named_struct('at', _from[k], 'own', {own},
+            'part', substring({text}, _from[k] + 1, greatest(_ends[k] - _from[k], 0)))"""),
+        "_outs": """transform(_lots, g -> aggregate(g.own, named_struct('out', '', 'at', g.at),
+            (s, x) -> if(x.start < s.at, named_struct('out', s.out, 'at', greatest(s.at, x.end)),
+                named_struct('out', concat(s.out, substring(g.part, s.at - g.at + 1, x.start - s.at), x.mark), 'at', x.end)),
+            s -> s.out))""",
+    }
+    out = df
+    for name, step in steps.items():
+        out = out.withColumn(name, F.expr(step))
+    whole = F.concat(F.array_join("_outs", ""), F.expr(f"substring({text}, array_max(_ends) + 1)"))
+    return out.withColumn(text, F.when(F.size("_sorted") > 0, whole).otherwise(F.col(text))).drop(*steps)

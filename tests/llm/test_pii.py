@@ -85,3 +85,35 @@ def test_em_tells_reliable_labelers():
     cells = [("tel|1|1|1|m", 50), ("tel|1|0|1|m", 40), ("tel|-1|0|-1|m", 60), ("tel|0|0|-1|m", 30)]
     chance = pii.classifier(cells)
     assert chance["tel|1|1|1|m"] > 0.5 > chance["tel|-1|0|-1|m"]
+
+
+def test_contexts_and_masks_of_texts_with_many_spans(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from rollcall.llm import spans
+
+    rnd = random.Random(5)
+    rows = []
+    for n in (0, 1, 2, 255, 256, 257, 2000):
+        text = "".join(rnd.choice("ab é🙂\n") for _ in range(10 * n + 7))
+        starts = sorted(rnd.sample(range(len(text) - 5), n))
+        rows.append((text, [(s, s + rnd.choice((1, 2, 5)), f"[{i % 3}]") for i, s in enumerate(starts)]))
+    rows.append(("x" * 9000, [(0, 9000, "[a]"), (3, 5, "[b]")] + [(4000 + i, 4002 + i, "[c]") for i in range(600)]))
+    rows += [(None, None), ("", [])]
+    df = spark.createDataFrame(rows, "text string, cut array<struct<start:int,end:int,mark:string>>")
+
+    def brute(text, cut):
+        out, at = [], 0
+        for s, e, mark in sorted(cut):
+            if s >= at:
+                out += [text[at:s], mark]
+            at = max(at, e)
+        return "".join(out) + text[at:]
+
+    got = [r.text for r in spans.masked(df, "text", "cut").collect()]
+    assert got == [t if t is None else brute(t, c) for t, c in rows]
+    seen = df.withColumn("p", spans.pieces("text")).select("text", "cut", F.transform("cut", lambda x: spans.ahead("p", x["start"], 24)).alias("a"))
+    for r in seen.where("text is not null").collect():
+        assert r.a == [r.text[max(0, c.start - 24) : c.start] for c in r.cut]
