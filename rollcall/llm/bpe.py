@@ -7,7 +7,9 @@ only create pairs of a higher rank, one ascending pass gives what merging each w
 
 Defined results: a null text counts as empty; an empty text has no ids and decodes to the empty text; repeated
 rows give repeated results; an empty table gives an empty one. Columns other than the key and the text are
-dropped, so clashing names can't occur.
+dropped, so clashing names can't occur. Ties: pairs have different ranks, and the positions of one pair merge from left
+to right, so "aaa" becomes "aa", "a". Texts are taken AT_ONCE bytes at a time, a very long one alone and whole: memory
+grows with the longest text.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ prediction.
 Defined results: a text that is null or has no letter, or any text when no language was learned, is `und` with score 0;
 ties between languages go to the name that sorts first, ties between n-grams to the shorter, then the lower code
 points; a null key is never held
-out; repeated rows give repeated results; an empty table gives an empty one; other columns don't take part.
+out; repeated rows give repeated results; an empty table gives an empty one; other columns don't take part. Training
+counts half a megabyte at a time, a very long text alone and whole, so memory grows with the longest text.
 """
 
 from __future__ import annotations

@@ -16,7 +16,10 @@ Everything that touches documents is built-in functions. The candidates with the
 are written to the shared folder once, so the texts are read by one pass.
 
 Defined results: a null or empty text has no spans; repeated rows give repeated results; an empty table gives an empty
-one; other columns don't take part, so their names can't clash.
+one; other columns don't take part, so their names can't clash. Ties: base spans of different kinds may overlap and all
+stay; a span of a further kind that meets a base one goes; of overlapping spans redaction writes the first one's kind, of
+equal ones that which ends first, then the kind whose mark sorts first. A very long text is searched whole, in time in proportion to its length;
+contexts and masks are cut from pieces of it. Spans of further kinds are held against the text's base spans one by one.
 """
 
 from __future__ import annotations

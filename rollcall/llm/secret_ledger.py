@@ -6,7 +6,9 @@ and what they found; a rule's version is the digest of its definition, so changi
 scans only the (blob, rule version) pairs that the ledger lacks, and joins the findings back to all paths.
 
 Defined results: a null text is the empty blob; repeated rows give repeated results; an empty table gives an empty
-result and an empty ledger; columns other than the keys and the text don't take part, so their names can't clash.
+result and an empty ledger; columns other than the keys and the text don't take part, so their names can't clash. Ties:
+spans of different rules may overlap and all stay, equal starts in the order of the rules. A very long text is one blob,
+scanned whole by one task, once however many paths share it.
 """
 
 from __future__ import annotations

@@ -21,7 +21,8 @@ Shuffles hold rows of a few numbers; hot groups are counted by partial aggregate
 skewed partitions Spark splits. Texts are shuffled by key to cut runs into bins and to cut the removed bytes out.
 
 Defined results: a null text counts as empty; texts shorter than WINDOW keep everything; rows that repeat, or share a key,
-are documents of their own; an empty table gives an empty one; other columns don't take part.
+are documents of their own; an empty table gives an empty one; other columns don't take part. Ties: of equal lowest grams
+of a window the first counts. A very long text is digested PIECE bytes at a time; its runs and spots are lists of one row.
 """
 
 from __future__ import annotations

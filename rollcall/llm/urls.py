@@ -7,7 +7,9 @@ the first by a hash, reach the driver as feature bins, weighted by how often the
 
 Defined results: a null URL, or one without `://`, has an empty host and path, fits no rule and is judged by its features
 like any other; repeated rows give repeated results; without labelled rows of both verdicts everything that no rule
-decides is allowed; an empty table gives an empty one; columns other than the key and the URL don't take part.
+decides is allowed; an empty table gives an empty one; columns other than the key and the URL don't take part. Ties: of
+rules that fit, the longest wins, and two of one length that fit one URL are the same; of equally good splits of a tree
+the first feature's lowest counts. A very long URL is judged whole, like any other.
 """
 
 from __future__ import annotations
