@@ -72,9 +72,9 @@ def blockers(rows: DataFrame, n_references: int, wanted: Sequence[str] = ()) ->
     return own.select("roster", codes.alias("codes")).where(F.size("codes") > 0)
 
 
-def sheet(rows: DataFrame, nia: bool = True, repetix: bool = False, materia: bool = False, cased: bool = False) -> DataFrame:
-    """The output columns; names in written case if asked for, which is presentation only: matching uses the original."""
+def sheet(rows: DataFrame, nia: bool = True, repetix: bool = False, materia: bool = False, cased: bool = False, also: Sequence[str] = ()) -> DataFrame:
+    """The output columns, then those in `also`; names in written case if asked for, which is presentation only: matching uses the original."""
     name = tx.name_case if cased else (lambda c: c)
     columns = [name(F.col("surnames")).alias("Apellidos"), name(F.col("given_names")).alias("Nombre")]
     columns += [F.col(c).alias(title) for wanted, c, title in ((nia, "nia", "NIA"), (repetix, "repetix", "REPETIX"), (materia, "materia", "MATÈRIA")) if wanted]
-    return rows.select(*columns)
+    return rows.select(*columns, *also)
