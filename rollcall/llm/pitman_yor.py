@@ -27,8 +27,12 @@ seated by the driver. To score, texts go in
 blocks of about BLOCK bytes, as lists of distinct words and the tokens' numbers among them; a block asks for its words and
 letter sequences by an equi-join, so no model is broadcast and no row depends on how often a word occurs.
 
-Words follow each other independently: restaurants for pairs of words would hold 49 million of them on the half
-gigabyte of the larger check, several times what the limits allow to shuffle.
+Contexts. With order 2, as the query asks, a token sits in the restaurant of the token before it, a text's first in that of
+the end; tables there are the customers of the restaurant of words. With order 1 all tokens sit in that one. Pairs of words
+are spread by the first, in PARTS_A_BLOCK parts a block: a part holds its restaurants' dishes as arrays, asks each round for
+the probabilities of the words that have dishes of two customers or more, and tells how many tables serve each word. Words
+and pairs are told apart by 64-bit digests there. A block's pairs go to their parts once, packed, and the answers come back
+packed; a restaurant's distinct dishes are in one task. Pairs are seated against the words as their last round left them.
 
 Defined results: a null text counts as empty, one end; a null key trains; repeated rows count as often as they occur; an
 empty table gives an empty result; without training rows the scores come from the uniform distribution and the base from
@@ -63,6 +67,8 @@ UNIFORM = 0.5
 #: Discounts and strengths: of words, then of letters by the length of the context.
 WORD_DISCOUNT, WORD_STRENGTH = 0.7, 10.0
 DISCOUNT, STRENGTH = (0.1, 0.3, 0.5, 0.7), (1.0, 1.0, 1.0, 1.0)
+#: Those of the restaurants of a word before; parts of the pairs for each block.
+PAIR_DISCOUNT, PAIR_STRENGTH, PARTS_A_BLOCK = 0.7, 10.0, 2
 #: After the 256 bytes come the end of a word and its start, the context of what has no letter before it.
 END, START, LETTERS = 256, 257, 258
 
@@ -149,6 +155,10 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return own[at], code
 
 
+def digests(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
 def draws(key: np.ndarray, *salt: int) -> np.ndarray:
     """Numbers between 0 and 1 by the dishes' keys and what they are drawn for."""
     for s in salt:
@@ -301,31 +311,39 @@ def parent(spelling: np.ndarray, types: int) -> np.ndarray:
     return UNIFORM / (types + 1) + (1 - UNIFORM) * spelling
 
 
+STATE = "word binary, h long, c long, n long, p double, ns array<long>, ts array<long>"
+
+
 def words_seated(state: DataFrame, served: np.ndarray, types: int, tables: int, seed: int) -> DataFrame:
-    """state (word, c, ts) with the tables after one more round at the end of ts; `tables` are all that words hold.
+    """state (word, h, c, n, p, ns, ts): digest, count, customers, what the letters serve it with, and customers and tables by
+    round, with one more round at the end of ns and ts; `tables` are all that words hold.
 
     In the same pass, rows without word tell how often a task's tables spell each letter after three others: c is the
     code, ts the number.
     """
 
+    def longs(rows: np.ndarray) -> pa.Array:
+        return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        names = ["word", "h", "c", "n", "p", "ns", "ts"]
+        x, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            words, c = b.column("word").to_pylist(), b.column("c").to_numpy()
-            ts = b.column("ts").flatten().to_numpy().reshape(len(words), -1)
+            words, n = b.column("word").to_pylist(), b.column("n").to_numpy()
+            ns, ts = (b.column(k).flatten().to_numpy().reshape(len(words), -1) for k in ("ns", "ts"))
             own, code = spelled(words)
-            p = np.exp(np.bincount(own, np.log(served[code // LETTERS % LETTERS, code % LETTERS]), len(words)))
-            key = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-            t = sweep(c, ts[:, -1], parent(p, types), tables - ts[:, -1], WORD_DISCOUNT, WORD_STRENGTH, key, seed, 9)
-            more = np.concatenate([ts, t[:, None]], axis=1)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(more.ravel()), more.shape[1]).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), lists], ["word", "c", "ts"])
+            p = parent(np.exp(np.bincount(own, np.log(served[code // LETTERS % LETTERS, code % LETTERS]), len(words))), types)
+            key = digests(words)
+            t = seated(n, ns[:, -1], ts[:, -1], p, tables - ts[:, -1], WORD_DISCOUNT, WORD_STRENGTH, key, seed, 8)
+            t = sweep(n, t, p, tables - ts[:, -1], WORD_DISCOUNT, WORD_STRENGTH, key, seed, 9)
+            more = [longs(np.concatenate([old, new[:, None]], axis=1)) for old, new in ((ns, n), (ts, t))]
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(key.view(np.int64)), b.column("c"), b.column("n"), pa.array(p), *more], names)
             x, back = np.unique(np.concatenate([x, code]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n, t[own]]), len(x)).astype(np.int64)
-        numbers = pa.FixedSizeListArray.from_arrays(pa.array(n), 1).cast(pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), pa.array(x), numbers], ["word", "c", "ts"])
+            many = np.bincount(back, np.concatenate([many, t[own]]), len(x)).astype(np.int64)
+        none = pa.array(np.zeros(len(x), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), none, pa.array(x), none, none.cast(pa.float64()), longs(many[:, None]), longs(many[:, None])], names)
 
-    return mapped(state.where("word is not null"), run, "word binary, c long, ts array<long>")
+    return mapped(state.where("word is not null"), run, STATE)
 
 
 def letter_counts(state: DataFrame) -> DataFrame:
@@ -387,18 +405,150 @@ def letter_tables(counts: DataFrame, before: DataFrame | None, served: np.ndarra
     return mapped(spread, run, "kind tinyint, code long, p double, c long, t long")
 
 
+class Pairs:
+    """A block's distinct pairs of a token (v) and the token before it (u), numbers among its words; place: each token's pair;
+    h: the words' digests; lots: by part, the pairs in it."""
+
+    def __init__(self, block: Block, parts: int):
+        starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
+        before = np.roll(block.tokens, 1).astype(np.int64)
+        before[starts] = 0  # the end
+        pair, self.place = np.unique(before * len(block.words) + block.tokens, return_inverse=True)
+        self.u, self.v = pair // len(block.words), pair % len(block.words)
+        self.count = np.bincount(self.place[np.repeat(block.train, block.sizes)], minlength=len(pair))
+        self.h = digests(block.words)
+        part = (mixed(self.h[self.u]) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        self.lots = dict(zip(found.tolist(), np.split(order, first[1:])))
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+
+
+def unpacked(blob: pa.Scalar) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_py()))
+
+
+def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return mixed(mixed(u) + v)
+
+
+def pair_questions(blocks: DataFrame, parts: int) -> DataFrame:
+    """(part, block, blob) of each block's pairs in a part: contexts' digests, pairs' places among them, words' digests and
+    counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, blob in zip(b.column("block").to_pylist(), b.column("blob")):
+                pairs = Pairs(Block(blob), parts)
+                for part, lot in pairs.lots.items():
+                    contexts, own = np.unique(pairs.h[pairs.u[lot]], return_inverse=True)
+                    one = packed(contexts, own.astype(np.uint32), pairs.h[pairs.v[lot]], pairs.count[lot])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i], pa.int64()), pa.array([one], pa.binary())], ["part", "block", "blob"])
+
+    return mapped(blocks, run, "part int, block long, blob binary")
+
+
+SEATS = "part int, blob binary, h long, n long"
+
+
+def part_rows(part: int, state: tuple[np.ndarray, ...]) -> pa.Table:
+    """A part's state (contexts, own, words, counts, tables by round) and, by word, the tables that serve it; n is negative
+    where no dish of the word has two customers, so its probability is not asked for."""
+    _, _, v, c, ts = state
+    words, back = np.unique(v, return_inverse=True)
+    n = np.bincount(back, ts[-1], len(words)).astype(np.int64)
+    n[np.bincount(back, c > 1, len(words)) == 0] *= -1
+    blobs = pa.array([packed(*state), *[None] * len(words)], pa.binary())
+    whole = lambda first, rest, kind: pa.array(np.concatenate([[first], rest]), kind)
+    return pa.table([pa.array(np.full(len(words) + 1, part), pa.int32()), blobs, whole(0, words.view(np.int64), pa.int64()), whole(0, n, pa.int64())], names=["part", "blob", "h", "n"])
+
+
+def pairs_counted(asked: DataFrame) -> DataFrame:
+    """part_rows() of all training pairs, each dish at one table."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        lots = [unpacked(x) for x in rows.column("blob")]
+        u, v, c = (np.concatenate(x) for x in zip(*((contexts[own][n > 0], words[n > 0], n[n > 0]) for contexts, own, words, n in lots)))
+        key, first, back = np.unique(pair_keys(u, v), return_index=True, return_inverse=True)
+        contexts, own = np.unique(u[first], return_inverse=True)
+        return part_rows(part, (contexts, own.astype(np.uint32), v[first], np.bincount(back, c, len(key)).astype(np.int64), np.ones((1, len(key)), np.int64)))
+
+    return asked.groupBy("part").applyInArrow(run, SEATS)
+
+
+def pairs_seated(seats: DataFrame, words: DataFrame, seed: int) -> DataFrame:
+    """part_rows() after one more round against words (h, p)."""
+
+    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        contexts, own, v, c, ts = unpacked(rows.column("blob")[0])
+        h, p = asked.column("h").to_numpy().view(np.uint64), asked.column("p").to_numpy()
+        order = np.argsort(h)
+        t, many = ts[-1].copy(), np.flatnonzero(c > 1)
+        if len(many):
+            served = p[order][np.searchsorted(h[order], v[many])]
+            others = np.bincount(own, t, len(contexts)).astype(np.int64)[own[many]] - t[many]
+            t[many] = sweep(c[many], t[many], served, others, PAIR_DISCOUNT, PAIR_STRENGTH, pair_keys(contexts[own[many]], v[many]), seed, 10)
+        return part_rows(rows.column("part")[0].as_py(), (contexts, own, v, c, np.concatenate([ts, t[None]])))
+
+    wanted = seats.where("blob is null and n > 0").select(F.col("part").alias("wanted_by"), "h").join(words, "h")
+    return seats.where("blob is not null").select("part", "blob").groupBy("part").cogroup(wanted.groupBy("wanted_by")).applyInArrow(run, SEATS)
+
+
+def pair_answers(asked: DataFrame, seats: DataFrame) -> DataFrame:
+    """(block, part, blob) for pair_questions(): each pair's customers and tables by sample, each context's too."""
+
+    def run(questions: pa.Table, state: pa.Table) -> pa.Table:
+        blocks, blobs, part = [], [], questions.column("part")[0].as_py()
+        contexts, own, v, c, ts = unpacked(state.column("blob")[0])
+        ts = ts[BURN : BURN + SAMPLES]
+        key = pair_keys(contexts[own], v)
+        order = np.argsort(key)
+        key = key[order]
+        all_c, all_t = np.bincount(own, c, len(contexts)).astype(np.int64), np.array([np.bincount(own, t, len(contexts)) for t in ts]).astype(np.int64)
+
+        def found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
+            return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
+
+        for block, blob in zip(questions.column("block").to_pylist(), questions.column("blob")):
+            u, mine, words, _ = unpacked(blob)
+            at, seen = found(key, pair_keys(u[mine], words))
+            at = order[at] if len(order) else at
+            up, known = found(contexts, u)
+            zero = lambda x, at, ok: np.where(ok, x[..., at], 0) if x.shape[-1] else np.zeros((*x.shape[:-1], len(at)), np.int64)
+            blocks.append(block)
+            blobs.append(packed(zero(c, at, seen), zero(ts, at, seen), zero(all_c, up, known), zero(all_t, up, known)))
+        return pa.table([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), part), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "blob"])
+
+    states = seats.where("blob is not null").select("part", "blob")
+    return asked.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(run, "block long, part int, blob binary")
+
+
 class Model:
-    """answers (key, c, v array), the samples' matrices and numbers of word tables, N and V.
+    """answers (key, c, v array), the samples' matrices and numbers of word tables and customers, N and V.
 
-    c is a word's count, v its tables in each sample, or a letter's or context's probabilities (then c is 0).
+    c is a word's count, v its tables in each sample (with order 2 its customers after them), or a letter's or context's
+    probabilities (then c is 0). asked and pairs: pair_questions() and the pairs' seats, with order 2.
     """
 
-    def __init__(self, blocks: DataFrame):
-        state = stash(vocabulary(blocks).select("word", "c", F.array(F.lit(1).cast("long")).alias("ts")))
+    def __init__(self, blocks: DataFrame, order: int = 1):
+        one = F.array(F.lit(1).cast("long"))
+        state = vocabulary(blocks).select("word", F.lit(0).cast("long").alias("h"), "c", F.col("c").alias("n"), F.lit(0.0).alias("p"), F.array("c").alias("ns"), one.alias("ts"))
+        state = stash(state)
         types, total = state.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        self.types, self.total = int(types), int(total)
+        self.types, self.total, self.asked, self.pairs, self.parts = int(types), int(total), None, None, 0
+        if order > 1 and self.total:
+            self.parts = max(1, PARTS_A_BLOCK * blocks.count())
+            self.asked = stash(pair_questions(blocks, self.parts))
+            self.pairs = stash(pairs_counted(self.asked))
+            old, state = state, stash(serving(with_digests(state), self.pairs, True))
+            discard(old)
         short, seats, tables, code = Short(), None, self.types, F.col("code")
-        self.served, self.tables, letters = [], [], []
+        self.served, self.tables, self.customers, letters = [], [], [], []
         for r in range(BURN + SAMPLES if self.total else 0):
             old, state = state, stash(words_seated(state, short.served, self.types, tables, r))
             discard(old)
@@ -406,14 +556,22 @@ class Model:
             if last is not None and r <= BURN:
                 discard(last)
             tables = int(seats.where((F.col("kind") == 3) & (code % LETTERS == END)).agg(F.sum("c")).first()[0])  # each spells one end
+            customers = self.total if self.pairs is None else int(state.where("word is not null").agg(F.sum("n")).first()[0])
             if r >= BURN:
                 letters.append(seats.select("kind", "code", F.lit(r - BURN).alias("i"), "p"))
                 self.served.append(short.served)
                 self.tables.append(tables)
+                self.customers.append(customers)
             orders = seats.where("kind = 2").groupBy((code / LETTERS).cast("long") % LETTERS, code % LETTERS).agg(F.sum("t"))
             short.update([tuple(map(int, x)) for x in orders.collect()], r)  # at most 258 * 257
+            if self.pairs is not None and r < BURN + SAMPLES - 1:
+                p = (F.col("n") - WORD_DISCOUNT * F.element_at("ts", -1) + (WORD_STRENGTH + WORD_DISCOUNT * tables) * F.col("p")) / (WORD_STRENGTH + customers)
+                known = state.where("word is not null")
+                old, self.pairs = self.pairs, stash(pairs_seated(self.pairs, known.select("h", p.alias("p")), r))
+                before, state = state, stash(serving(known, self.pairs))
+                discard(old, before)
         if not letters:
-            self.served, self.tables = [short.served], [0]
+            self.served, self.tables, self.customers = [short.served], [0], [0]
             self.answers = blocks.sparkSession.createDataFrame([], "key binary, c long, v array<float>")
             return
         rows = letters[0]
@@ -423,9 +581,24 @@ class Model:
         values = F.array(*(F.max(F.when(F.col("i") == i, F.col("p"))).cast("float") for i in range(SAMPLES)))
         rows = rows.groupBy("kind", "code").agg(values.alias("v"))
         key = F.concat(F.unhex(F.lpad(F.hex(F.col("kind").cast("long")), 2, "0")), F.unhex(F.lpad(F.hex("code"), 16, "0")))
-        tables = F.slice("ts", 2 + BURN, SAMPLES).cast("array<float>")
-        words = state.where("word is not null").select(F.concat(F.unhex(F.lit("00")), "word").alias("key"), "c", tables.alias("v"))
-        self.answers = words.unionAll(rows.select(key.alias("key"), F.lit(0).cast("long").alias("c"), "v"))
+        tables, none = F.slice("ts", 2 + BURN, SAMPLES).cast("array<float>"), F.lit(None).cast("array<float>")
+        extra = [F.slice("ns", 2 + BURN, SAMPLES).cast("array<float>").alias("ns")] if self.pairs is not None else []
+        words = state.where("word is not null").select(F.concat(F.unhex(F.lit("00")), "word").alias("key"), "c", tables.alias("v"), *extra)
+        self.answers = words.unionAll(rows.select(key.alias("key"), F.lit(0).cast("long").alias("c"), "v", *(none.alias("ns") for _ in extra)))
+
+
+def with_digests(state: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(1, "h", pa.array(digests(b.column("word").to_pylist()).view(np.int64)))
+
+    return mapped(state, run, STATE)
+
+
+def serving(state: DataFrame, pairs: DataFrame, first: bool = False) -> DataFrame:
+    """state with the tables of pairs as customers; first: also as those that sat there before."""
+    n = pairs.where("blob is null").groupBy("h").agg(F.sum(F.abs("n")).alias("n"))
+    return state.drop("n").join(n, "h").select("word", "h", "c", "n", "p", F.array("n").alias("ns") if first else F.col("ns"), "ts")
 
 
 def questions(blocks: DataFrame) -> DataFrame:
@@ -465,12 +638,27 @@ def probabilities(words: list[bytes], codes: dict[int, np.ndarray], found: dict[
     return np.exp(out)
 
 
-def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10."""
+def after(pairs: Pairs, p: np.ndarray, answers: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
+    """By sample and pair, the probability of its word after the one before; p: those of words by themselves."""
+    out = p[:, pairs.v]
+    for part, lot in pairs.lots.items():
+        c, t, all_c, all_t = answers[part]
+        own = np.unique(pairs.h[pairs.u[lot]], return_inverse=True)[1]
+        out[:, lot] = (c - PAIR_DISCOUNT * t + (PAIR_STRENGTH + PAIR_DISCOUNT * all_t[:, own]) * out[:, lot]) / (PAIR_STRENGTH + all_c[own])
+    return out
+
+
+def report(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = 1) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10. order: 1 takes words
+    by themselves, 2 after the word before."""
     rows = numbered(docs, key, text)
     blocks = stash(blocked(rows.withColumn("train", ~held_out("key")), "train"))
-    model = Model(blocks)
-    answers = questions(blocks).join(model.answers, "key").select("block", "kind", "n", "c", "v")
+    model = Model(blocks, order)
+    paired, parts, all_customers = model.pairs is not None, model.parts, model.customers
+    answers = questions(blocks).join(model.answers, "key").select("block", "kind", "n", "c", "v", *(["ns"] if paired else []))
+    if paired:
+        more = pair_answers(model.asked, model.pairs).select("block", F.lit(100).cast("tinyint").alias("kind"), F.col("part").alias("n"), F.lit(0).cast("long").alias("c"), F.array(*[F.lit(0).cast("float")] * SAMPLES).alias("v"), F.lit(None).cast("array<float>").alias("ns"), "blob")
+        answers = answers.withColumn("blob", F.lit(None).cast("binary")).unionByName(more)
     served, tables, total, types = model.served, model.tables, model.total, model.types
 
     def run(blob_table: pa.Table, answer_table: pa.Table) -> pa.Table:
@@ -492,15 +680,24 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             mine = np.flatnonzero(kinds == 0)
             if len(mine):
                 c[places[mine]], t[places[mine]] = customers[mine], values[mine]
-            p = np.zeros(words)
+            n = np.repeat(c[:, None], len(served), axis=1)
+            if paired:
+                n = np.zeros((words, len(served)))
+                if len(mine):
+                    n[places[mine]] = answer_table.column("ns").combine_chunks().take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), -1)
+            p = np.zeros((len(served), words))
             for lot in block.lots():
                 spelling = probabilities(block.words[lot], codes, found, served)
-                for i, all_tables in enumerate(tables):
+                for i, (all_tables, customers) in enumerate(zip(tables, all_customers)):
                     new = (WORD_STRENGTH + WORD_DISCOUNT * all_tables) * parent(spelling[i], types)
-                    p[lot] += (c[lot] - WORD_DISCOUNT * t[lot, i] + new) / (WORD_STRENGTH + total) / len(tables)
-            log_p, base = np.log10(p), np.log10((c + 0.1) / (total + 0.1 * (types + 1)))
+                    p[i, lot] = (n[lot, i] - WORD_DISCOUNT * t[lot, i] + new) / (WORD_STRENGTH + customers)
+            place = block.tokens
+            if paired:
+                pairs = Pairs(block, parts)
+                p, place = after(pairs, p, {k: unpacked(blob) for k, blob in zip(places[kinds == 100].tolist(), answer_table.column("blob").filter(pa.array(kinds == 100)))}), pairs.place
+            log_p, base = np.log10(p.mean(axis=0)), np.log10((c + 0.1) / (total + 0.1 * (types + 1)))
             starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])  # a text has one token at least, its end
-            by_text = [np.add.reduceat(x[block.tokens], starts) for x in ((c > 0).astype(np.int64), base, log_p)]
+            by_text = [np.add.reduceat(x[k], starts) for x, k in (((c > 0).astype(np.int64), block.tokens), (base, block.tokens), (log_p, place))]
             for column, x in zip(columns, (block.ids, block.sizes, *by_text)):
                 column.append(x)
         kinds_out = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())

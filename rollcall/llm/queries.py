@@ -49,7 +49,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pitman_yor.report(table(spark, sf_dir, "documents"))
+    return pitman_yor.report(table(spark, sf_dir, "documents"), order=2)
 
 
 def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

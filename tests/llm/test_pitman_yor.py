@@ -147,3 +147,73 @@ def test_empty_repeated_and_untrained(spark):
     only = py.report(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert only.held_out and only.n_known == 0 and only.train_tokens == 0 and only.base_score == pytest.approx(0.0, abs=1e-9)
     assert math.isfinite(only.score)
+
+
+def pair_seats(model):
+    """By context and word: customers and tables by round."""
+    out = {}
+    for r in model.pairs.where("blob is not null").collect():
+        contexts, own, v, c, ts = py.unpacked(py.pa.scalar(bytes(r.blob)))
+        out.update({(int(contexts[a]), int(b)): (int(n), t.tolist()) for a, b, n, t in zip(own, v, c, ts.T)})
+    return out
+
+
+def test_words_after_words_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(py, "BLOCK", 300)
+    texts = ["the cat sat on the mat", "The dog sat on the mat", "a cat and a dog", "", None, "mat the on sat cat the"] * 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = py.numbered(df, "doc_id", "text").withColumn("train", ~py.held_out("id"))
+    model = py.Model(py.stash(py.blocked(rows, "train")), 2)
+    count = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 10:
+            words = tokens(t)
+            count.update(zip(["", *words], words))
+    seats, h = pair_seats(model), lambda w: int(py.digests([w.encode()])[0])
+    assert {k: c for k, (c, _) in seats.items()} == {(h(u), h(v)): c for (u, v), c in count.items()}
+    assert all(1 <= x <= c for c, t in seats.values() for x in t) and any(x > 1 for _, t in seats.values() for x in t)
+    assert model.customers == [sum(t[py.BURN + i] for _, t in seats.values()) for i in range(py.SAMPLES)]
+    answers = {bytes(r.key)[1:].decode(): r for r in model.answers.collect() if r.key[0] == 0}
+    for w, r in answers.items():
+        assert list(r.ns) == [sum(t[py.BURN + i] for (_, v), (_, t) in seats.items() if v == h(w)) for i in range(py.SAMPLES)]
+
+    # words by themselves with the same seats, from the operator's own first step; the pairs by hand
+    one, after = {}, py.after
+
+    def kept(pairs, p, found):
+        one.update({int(d): p[:, i] for i, d in enumerate(pairs.h)})
+        out = after(pairs, p, found)
+        for u, v, got in zip(pairs.h[pairs.u].tolist(), pairs.h[pairs.v].tolist(), out.T):
+            own = [x for k, x in seats.items() if k[0] == u]
+            c, t = seats.get((u, v), (0, [0] * 9))
+            for i in range(py.SAMPLES):
+                all_t = sum(x[1][py.BURN + i] for x in own)
+                want = (c - py.PAIR_DISCOUNT * t[py.BURN + i] + (py.PAIR_STRENGTH + py.PAIR_DISCOUNT * all_t) * one[v][i]) / (py.PAIR_STRENGTH + sum(x[0] for x in own))
+                assert got[i] == pytest.approx(want, rel=1e-9)
+        return out
+
+    for blob in py.stash(py.blocked(rows, "train")).collect():
+        block = py.Block(py.pa.scalar(bytes(blob.blob)))
+        pairs = py.Pairs(block, model.parts)
+        found = {r.part: py.unpacked(py.pa.scalar(bytes(r.blob))) for r in py.pair_answers(model.asked, model.pairs).where(f"block = {blob.block}").collect()}
+        kept(pairs, np.random.default_rng(1).random((py.SAMPLES, len(block.words))), found)
+
+
+def test_the_order_of_words_counts_and_partitions_do_not(spark):
+    rng = np.random.default_rng(3)
+    following = {w: [f"w{(w * 7 + k) % 40}" for k in range(3)] for w in range(40)}
+
+    def walk(n):
+        w, out = int(rng.integers(40)), []
+        for _ in range(n):
+            out.append(following[w][int(rng.integers(3))])
+            w = int(out[-1][1:])
+        return " ".join(out)
+
+    rows = [(i, walk(60)) for i in range(300)]
+    docs, found = spark.createDataFrame(rows, "doc_id long, text string"), []
+    for n, order in ((1, 2), (7, 2), (2, 1)):
+        found.append({r.doc_id: r.score for r in py.report(docs.repartition(n), order=order).collect()})
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    assert all(found[0][i] == pytest.approx(found[1][i], rel=1e-12) for i in found[0])
+    assert sum(found[0][i] for i in held) > 0.6 * sum(found[2][i] for i in held)  # log10(3) against log10(40) a word
