@@ -21,18 +21,22 @@ are spread over tasks, while scores use three.
 
 Random numbers are digests of the round, the restaurant and the dish, so scores don't depend on partitions or batches.
 
-Distribution. Words and their counts are one table, spread by word. Restaurants with two or three letters are spread by
+Distribution. Words and their counts are one table. What occurs once in training has one customer at one table for good, so
+it is counted once and takes no part in the rounds. Words are in parts by their digest, about WORDS_A_PART a part, as arrays. Restaurants with two or three letters are spread by
 their last two letters, at most 258**2 dishes each; those with one letter or none have 258**2 numbers in all and are
 seated by the driver. To score, texts go in
-blocks of about BLOCK bytes, as lists of distinct words and the tokens' numbers among them; a block asks for its words and
-letter sequences by an equi-join, so no model is broadcast and no row depends on how often a word occurs.
+blocks of about BLOCK bytes, as lists of distinct words and the tokens' numbers among them; a block asks each part
+for its words there in one row, packed, and for letter sequences by an equi-join, so no model is broadcast and no row depends on
+how often a word occurs. Words are compared whole.
 
 Contexts. With order 2, as the query asks, a token sits in the restaurant of the token before it, a text's first in that of
 the end; tables there are the customers of the restaurant of words. With order 1 all tokens sit in that one. Pairs of words
-are spread by the first, in PARTS_A_BLOCK parts a block: a part holds its restaurants' dishes as arrays, asks each round for
-the probabilities of the words that have dishes of two customers or more, and tells how many tables serve each word. Words
-and pairs are told apart by 64-bit digests there. A block's pairs go to their parts once, packed, and the answers come back
-packed; a restaurant's distinct dishes are in one task. Pairs are seated against the words as their last round left them.
+are spread by the first, in PARTS_A_BLOCK parts a block. A block's pairs go to their parts once, packed: there they are counted,
+and the block's question becomes a place for each pair, 0 if it is not in training, 1 if once, else of a dish. A part holds the
+dishes of two customers or more as arrays, and of the others, which never move, how many tables they hold in each restaurant.
+In a round it tells each part of the words, in one row, how many tables serve which words, and gets what serves them back in
+one row: nothing is moved by word. Words and pairs are told apart by 64-bit digests there. A restaurant's distinct dishes are in
+one task. Pairs are seated against the words as their last round left them.
 
 Defined results: a null text counts as empty, one end; a null key trains; repeated rows count as often as they occur; an
 empty table gives an empty result; without training rows the scores come from the uniform distribution and the base from
@@ -55,11 +59,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.sources.shared import spread
+
 from .common import discard, mapped, numbered, slices, stash
 from .words import MIX, mixed
 
 #: Bytes of text in a block, bytes of words that are spelled at a time; rounds before the first sample, and samples.
-BLOCK, AT_ONCE, BURN, SAMPLES = 20 << 20, 1 << 18, 2, 3
+BLOCK, AT_ONCE, BURN, SAMPLES = 14 << 20, 1 << 18, 2, 3
 #: Lots of a dish in a sweep; customers up to which the chance of sitting alone is exact; mean from which a draw is normal.
 LOTS, EXACT, NORMAL = 32, 64, 30.0
 #: The part of the parent of words that is uniform; the other part spells.
@@ -69,6 +75,8 @@ WORD_DISCOUNT, WORD_STRENGTH = 0.7, 10.0
 DISCOUNT, STRENGTH = (0.1, 0.3, 0.5, 0.7), (1.0, 1.0, 1.0, 1.0)
 #: Those of the restaurants of a word before; parts of the pairs for each block.
 PAIR_DISCOUNT, PAIR_STRENGTH, PARTS_A_BLOCK = 0.7, 10.0, 2
+#: Words, and bytes of words, in a part.
+WORDS_A_PART, BYTES_A_PART = 200_000, 4 << 20
 #: After the 256 bytes come the end of a word and its start, the context of what has no letter before it.
 END, START, LETTERS = 256, 257, 258
 
@@ -126,10 +134,7 @@ class Block:
         return np.bincount(self.tokens[np.repeat(self.train, self.sizes)], minlength=len(self.words))
 
     def lots(self) -> Iterator[slice]:
-        place = np.cumsum([len(w) + 4 for w in self.words]) // AT_ONCE
-        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(self.words)]
-        for lo, hi in zip(edges, edges[1:]):
-            yield slice(lo, hi)
+        return lots(self.words)
 
     def codes(self) -> list[tuple[int, np.ndarray]]:
         """By kind, the codes of the letters and contexts that spell the words, in order."""
@@ -140,6 +145,14 @@ class Block:
         return [(3, code), (2, short), (13, np.unique(code // LETTERS)), (12, np.unique(short // LETTERS))]
 
 
+def lots(words: list[bytes]) -> Iterator[slice]:
+    """The words in lots of about AT_ONCE bytes."""
+    place = np.cumsum([len(w) + 4 for w in words]) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(words)]
+    for lo, hi in zip(edges, edges[1:]):
+        yield slice(lo, hi)
+
+
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word, code) of every letter of every word, its end included: code has the three letters before it and itself."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -311,48 +324,162 @@ def parent(spelling: np.ndarray, types: int) -> np.ndarray:
     return UNIFORM / (types + 1) + (1 - UNIFORM) * spelling
 
 
-STATE = "word binary, h long, c long, n long, p double, ns array<long>, ts array<long>"
+#: Kinds of rows: seats as arrays; what parts of words and of pairs tell each other, `at` the other's part; a block's
+#: places, `at` the block; how often, n, a letter is spelled after three others, `at` their code; words that occur once.
+SEATED, TOLD, ASKED, LETTER, ONCE = 0, 1, 2, 3, 4
+#: Kinds of a block's answers, above those of letters.
+WORDS, PAIRS = 100, 101
+ROWS = "kind tinyint, part int, at long, blob binary, n long"
 
 
-def words_seated(state: DataFrame, served: np.ndarray, types: int, tables: int, seed: int) -> DataFrame:
-    """state (word, h, c, n, p, ns, ts): digest, count, customers, what the letters serve it with, and customers and tables by
-    round, with one more round at the end of ns and ts; `tables` are all that words hold.
+def packed(*arrays: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
 
-    In the same pass, rows without word tell how often a task's tables spell each letter after three others: c is the
-    code, ts the number.
-    """
 
-    def longs(rows: np.ndarray) -> pa.Array:
-        return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.int64()))
+def unpacked(blob: pa.Scalar) -> tuple[np.ndarray, ...]:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_py()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["word", "h", "c", "n", "p", "ns", "ts"]
-        x, many = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on in as few bytes as the largest needs."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+
+
+def listed(part: int, rows: list[tuple[int, int, bytes, int]], code: np.ndarray = np.zeros(0, np.int64), many: np.ndarray = np.zeros(0, np.int64)) -> pa.Table:
+    """ROWS of a part: rows (kind, at, blob, n), then letters' codes and numbers."""
+    kind, at, blob, n = zip(*rows)
+    columns = [
+        pa.array(np.concatenate([kind, np.full(len(code), LETTER)]), pa.int8()),
+        pa.array(np.full(len(rows) + len(code), part), pa.int32()),
+        pa.array(np.concatenate([np.array(at, np.int64), code]), pa.int64()),
+        pa.concat_arrays([pa.array(blob, pa.binary()), pa.nulls(len(code), pa.binary())]),
+        pa.array(np.concatenate([np.array(n, np.int64), many]), pa.int64()),
+    ]
+    return pa.table(columns, names=["kind", "part", "at", "blob", "n"])
+
+
+def part_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(h) % np.uint64(parts)).astype(np.int64)
+
+
+def dealt(part: np.ndarray) -> dict[int, np.ndarray]:
+    """By part, the places of its rows, in order."""
+    order = np.argsort(part, kind="stable")
+    found, first = np.unique(part[order], return_index=True)
+    return dict(zip(found.tolist(), np.split(order, first[1:])))
+
+
+def joined(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b" ".join(words), np.uint8)
+
+
+def parted(words: np.ndarray) -> list[bytes]:
+    return words.tobytes().split(b" ")
+
+
+def told_to(rows: DataFrame):
+    """What the other side told the parts, grouped by them."""
+    return spread(rows.where(F.col("kind") == TOLD).select(F.col("at").cast("int").alias("to"), F.col("part").alias("sender"), "blob"), "to").groupBy("to")
+
+
+def words_counted(words: DataFrame, told: DataFrame | None, parts: int) -> DataFrame:
+    """ROWS with the words (word, c) in parts. Seats of those that occur twice or more: words by digest, their counts, customers
+    that never move, and customers and tables by round. The others, and how often they spell each letter after three others.
+    told: of pairs; without it all of a word's tokens are its customers."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = digests(b.column("word").to_pylist())
+            columns = [pa.array(part_of(h, parts), pa.int32()), b.column("word"), pa.array(h.view(np.int64)), b.column("c")]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "word", "h", "c"])
+
+    def run(rows: pa.Table, told: pa.Table | None) -> pa.Table:
+        if not rows.num_rows:
+            return listed(0, [(TOLD, 0, b"", 0)])[:0]
+        h, c = rows.column("h").to_numpy().view(np.uint64), rows.column("c").to_numpy()
+        order = np.argsort(h)
+        lone, order = order[c[order] == 1], order[c[order] > 1]
+        take = lambda x: rows.column("word").take(pa.array(x)).to_pylist()
+        out, code, many = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(lone):
+            words = take(lone)
+            out.append((ONCE, 0, packed(joined(words)), 0))
+            for lot in lots(words):
+                code, back = np.unique(np.concatenate([code, spelled(words[lot])[1]]), return_inverse=True)
+                many = np.bincount(back, np.concatenate([many, np.ones(len(back) - len(many), np.int64)]), len(code)).astype(np.int64)
+        if len(order):
+            h, words, c = h[order], take(order), c[order]
+            still, n = c, c
+            if told is not None:
+                still, n = np.zeros((2, len(h)), np.int64)
+                for blob in told.column("blob"):
+                    which, now, alone = unpacked(blob)
+                    at = np.minimum(np.searchsorted(h, which), len(h) - 1)
+                    known = h[at] == which
+                    still[at[known]] += alone[known]
+                    n[at[known]] += now[known]
+                n += still
+            out.append((SEATED, 0, packed(joined(words), c, still, n[None], np.ones((1, len(h)), np.int64)), 0))
+        return listed(rows.column("part")[0].as_py(), out, code, many)
+
+    rows = spread(mapped(words, deal, "part int, word binary, h long, c long"), "part").groupBy("part")
+    return rows.applyInArrow(lambda rows: run(rows, None), ROWS) if told is None else rows.cogroup(told_to(told)).applyInArrow(run, ROWS)
+
+
+def words_seated(state: DataFrame, told: DataFrame | None, served: np.ndarray, types: int, tables: int, seed: int, last: bool) -> DataFrame:
+    """ROWS of the words after one more round: seats, with the customers in n and the tables in `at`; answers to what pairs told,
+    except in the last round; and how often a part's tables spell each letter after three others. `tables` are all that words hold."""
+
+    def run(part: int, blob: pa.Scalar, told: list[tuple[int, pa.Scalar]]) -> pa.Table:
+        words, c, still, ns, ts = unpacked(blob)
+        words, n = parted(words), still.copy()
+        key, p, codes = digests(words), np.empty(len(words)), []
+        for lot in lots(words):
+            own, code = spelled(words[lot])
+            p[lot] = parent(np.exp(np.bincount(own, np.log(served[code // LETTERS % LETTERS, code % LETTERS]), lot.stop - lot.start)), types)
+            codes.append((own + lot.start, code))
+        asked = []
+        for sender, blob in told:
+            which, now, _ = unpacked(blob)
+            which, now = which[now > 0], now[now > 0]
+            at = np.searchsorted(key, which)
+            n[at] += now
+            asked.append((sender, at))
+        others = tables - ts[-1]
+        t = seated(n, ns[-1], ts[-1], p, others, WORD_DISCOUNT, WORD_STRENGTH, key, seed, 8)
+        t = sweep(n, t, p, others, WORD_DISCOUNT, WORD_STRENGTH, key, seed, 9)
+        state = packed(joined(words), c, still, np.concatenate([ns, n[None]]), np.concatenate([ts, t[None]]))
+        rows = [(SEATED, int(t.sum()), state, int(n.sum()))]
+        if not last:
+            rows += [(TOLD, sender, packed(n[at] - WORD_DISCOUNT * t[at], p[at]), 0) for sender, at in asked]
+        own, code = (np.concatenate(x) for x in zip(*codes))
+        code, back = np.unique(code, return_inverse=True)
+        return listed(part, rows, code, np.bincount(back, t[own], len(code)).astype(np.int64))
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, n = b.column("word").to_pylist(), b.column("n").to_numpy()
-            ns, ts = (b.column(k).flatten().to_numpy().reshape(len(words), -1) for k in ("ns", "ts"))
-            own, code = spelled(words)
-            p = parent(np.exp(np.bincount(own, np.log(served[code // LETTERS % LETTERS, code % LETTERS]), len(words))), types)
-            key = digests(words)
-            t = seated(n, ns[:, -1], ts[:, -1], p, tables - ts[:, -1], WORD_DISCOUNT, WORD_STRENGTH, key, seed, 8)
-            t = sweep(n, t, p, tables - ts[:, -1], WORD_DISCOUNT, WORD_STRENGTH, key, seed, 9)
-            more = [longs(np.concatenate([old, new[:, None]], axis=1)) for old, new in ((ns, n), (ts, t))]
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(key.view(np.int64)), b.column("c"), b.column("n"), pa.array(p), *more], names)
-            x, back = np.unique(np.concatenate([x, code]), return_inverse=True)
-            many = np.bincount(back, np.concatenate([many, t[own]]), len(x)).astype(np.int64)
-        none = pa.array(np.zeros(len(x), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.binary()), none, pa.array(x), none, none.cast(pa.float64()), longs(many[:, None]), longs(many[:, None])], names)
+            for part, blob in zip(b.column("part").to_pylist(), b.column("blob")):
+                yield from run(part, blob, []).to_batches()
 
-    return mapped(state.where("word is not null"), run, STATE)
+    def together(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return listed(0, [(TOLD, 0, b"", 0)])[:0]
+        return run(rows.column("part")[0].as_py(), rows.column("blob")[0], list(zip(told.column("sender").to_pylist(), told.column("blob"))))
 
+    seats = state.where(F.col("kind") == SEATED).select("part", "blob")
+    if told is None:
+        return mapped(seats, alone, ROWS)
+    return spread(seats, "part").groupBy("part").cogroup(told_to(told)).applyInArrow(together, ROWS)
 
-def letter_counts(state: DataFrame) -> DataFrame:
-    """(code, c): how often the words' tables spell each letter after three others."""
-    return state.where("word is null").groupBy(F.col("c").alias("code")).agg(F.sum(F.col("ts")[0]).alias("c"))
+
+def letter_counts(state: DataFrame, once: DataFrame) -> DataFrame:
+    """(code, c): how often the words' tables spell each letter after three others; once: those of words that occur once."""
+    rows = state.unionAll(once).where(F.col("kind") == LETTER).select(F.col("at").alias("code"), F.col("n").alias("c"))
+    return rows.groupBy("code").agg(F.sum("c").alias("c"))
 
 
 def key_of(kind: int, code: np.ndarray) -> list[bytes]:
-    """Keys of letters and contexts: the kind, then the code; words' keys are a 0 before the word."""
+    """Keys of letters and contexts: the kind, then the code; in Model.answers a word's is a 0 before the word."""
     raw = code.astype(">u8").tobytes()
     return [bytes([kind]) + raw[i : i + 8] for i in range(0, len(raw), 8)]
 
@@ -411,24 +538,15 @@ class Pairs:
 
     def __init__(self, block: Block, parts: int):
         starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
-        before = np.roll(block.tokens, 1).astype(np.int64)
-        before[starts] = 0  # the end
-        pair, self.place = np.unique(before * len(block.words) + block.tokens, return_inverse=True)
+        pair = np.roll(block.tokens, 1).astype(np.int64)
+        pair[starts] = 0  # the end
+        pair *= len(block.words)
+        pair += block.tokens
+        pair, self.place = np.unique(pair, return_inverse=True)
         self.u, self.v = pair // len(block.words), pair % len(block.words)
         self.count = np.bincount(self.place[np.repeat(block.train, block.sizes)], minlength=len(pair))
         self.h = digests(block.words)
-        part = (mixed(self.h[self.u]) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        found, first = np.unique(part[order], return_index=True)
-        self.lots = dict(zip(found.tolist(), np.split(order, first[1:])))
-
-
-def packed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def unpacked(blob: pa.Scalar) -> tuple[np.ndarray, ...]:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob.as_py()))
+        self.lots = dealt(part_of(self.h, parts)[self.u])
 
 
 def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -451,173 +569,265 @@ def pair_questions(blocks: DataFrame, parts: int) -> DataFrame:
     return mapped(blocks, run, "part int, block long, blob binary")
 
 
-SEATS = "part int, blob binary, h long, n long"
-
-
-def part_rows(part: int, state: tuple[np.ndarray, ...]) -> pa.Table:
-    """A part's state (contexts, own, words, counts, tables by round) and, by word, the tables that serve it; n is negative
-    where no dish of the word has two customers, so its probability is not asked for."""
-    _, _, v, c, ts = state
-    words, back = np.unique(v, return_inverse=True)
-    n = np.bincount(back, ts[-1], len(words)).astype(np.int64)
-    n[np.bincount(back, c > 1, len(words)) == 0] *= -1
-    blobs = pa.array([packed(*state), *[None] * len(words)], pa.binary())
-    whole = lambda first, rest, kind: pa.array(np.concatenate([[first], rest]), kind)
-    return pa.table([pa.array(np.full(len(words) + 1, part), pa.int32()), blobs, whole(0, words.view(np.int64), pa.int64()), whole(0, n, pa.int64())], names=["part", "blob", "h", "n"])
-
-
-def pairs_counted(asked: DataFrame) -> DataFrame:
-    """part_rows() of all training pairs, each dish at one table."""
+class Counted:
+    """The distinct pairs of a part's questions: contexts, own (a training pair's context among them), its word v and count c, in
+    the order of pair_keys(); place: of every pair asked for, 0 if not in training, 1 if once, else 2 and more by order."""
+
+    def __init__(self, blobs: pa.ChunkedArray):
+        self.lots = [unpacked(x) for x in blobs]
+        u, v, c = (np.concatenate(x) for x in zip(*((contexts[own], words, n) for contexts, own, words, n in self.lots)))
+        _, first, back = np.unique(pair_keys(u, v), return_index=True, return_inverse=True)
+        c = np.bincount(back, c, len(first)).astype(np.int64)
+        self.place = np.where(c > 1, np.cumsum(c > 1) + 1, c).astype(np.uint32)[back]
+        first, self.c = first[c > 0], c[c > 0]
+        self.v = v[first]
+        self.contexts, self.own = np.unique(u[first], return_inverse=True)
+
+    def places(self) -> Iterator[bytes]:
+        """For each question: pairs' places, and contexts' places here, customers, and tables that never move."""
+        lone = self.c == 1
+        customers, still = np.bincount(self.own, self.c, len(self.contexts) + 1), np.bincount(self.own[lone], minlength=len(self.contexts) + 1)
+        edges = np.cumsum([len(own) for _, own, _, _ in self.lots])
+        for (contexts, *_), place in zip(self.lots, np.split(self.place, edges[:-1])):
+            up = np.searchsorted(self.contexts, contexts)
+            known = np.append(self.contexts, [np.uint64(0)])[up] == contexts
+            up = np.where(known & (up < len(self.contexts)), up, len(self.contexts)).astype(np.uint32)
+            yield packed(place, up, customers[up].astype(np.int64), still[up])
+
+
+def pairs_counted(asked: DataFrame, word_parts: int) -> DataFrame:
+    """ROWS of all training pairs, each dish at one table: seats (contexts, own, words, counts, tables by round) of those with two
+    customers or more and, by context, the tables of the others; for parts of words the tables of the two sorts that serve
+    each word; places for each block."""
 
     def run(rows: pa.Table) -> pa.Table:
-        part = rows.column("part")[0].as_py()
-        lots = [unpacked(x) for x in rows.column("blob")]
-        u, v, c = (np.concatenate(x) for x in zip(*((contexts[own][n > 0], words[n > 0], n[n > 0]) for contexts, own, words, n in lots)))
-        key, first, back = np.unique(pair_keys(u, v), return_index=True, return_inverse=True)
-        contexts, own = np.unique(u[first], return_inverse=True)
-        return part_rows(part, (contexts, own.astype(np.uint32), v[first], np.bincount(back, c, len(key)).astype(np.int64), np.ones((1, len(key)), np.int64)))
-
-    return asked.groupBy("part").applyInArrow(run, SEATS)
-
-
-def pairs_seated(seats: DataFrame, words: DataFrame, seed: int) -> DataFrame:
-    """part_rows() after one more round against words (h, p)."""
+        pairs = Counted(rows.column("blob"))
+        more = pairs.c > 1
+        own, v = pairs.own[more], pairs.v[more]
+        used = np.bincount(own, minlength=len(pairs.contexts)) > 0
+        still = np.bincount(pairs.own[~more], minlength=len(used))
+        seats = packed(np.where(used, pairs.contexts, np.uint64(0)), own.astype(np.uint32), v, pairs.c[more], np.ones((1, len(v)), np.int64), still)
+        words, back = np.unique(pairs.v, return_inverse=True)
+        now, alone = (np.bincount(back[x], minlength=len(words)) for x in (more, ~more))
+        out = [(SEATED, 0, seats, 0), *((TOLD, at, packed(words[x], now[x], alone[x]), 0) for at, x in dealt(part_of(words, word_parts)).items())]
+        out += [(ASKED, block, blob, 0) for block, blob in zip(rows.column("block").to_pylist(), pairs.places())]
+        return listed(rows.column("part")[0].as_py(), out)
+
+    return spread(asked, "part").groupBy("part").applyInArrow(run, ROWS)
+
+
+def pairs_seated(seats: DataFrame, told: DataFrame, new: float, total: float, word_parts: int, seed: int, last: bool) -> DataFrame:
+    """ROWS of the pairs after one more round: seats, after the last without digests, and the tables that serve each word. Words
+    told (a, b): a word is served with (a + new * b) / total."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        contexts, own, v, c, ts, still = unpacked(rows.column("blob")[0])
+        words, back = np.unique(v, return_inverse=True)
+        parts, served = dealt(part_of(words, word_parts)), np.full(len(words), np.nan)
+        for sender, blob in zip(told.column("sender").to_pylist(), told.column("blob")):
+            if sender in parts:
+                a, b = unpacked(blob)
+                served[parts[sender]] = (a + new * b) / total
+        t = ts[-1]
+        others = (still + np.bincount(own, t, len(contexts)).astype(np.int64))[own] - t
+        t = sweep(c, t, served[back], others, PAIR_DISCOUNT, PAIR_STRENGTH, pair_keys(contexts[own], v), seed, 10)
+        now = np.bincount(back, t, len(words)).astype(np.int64)
+        ts = np.concatenate([ts, t[None]])
+        out = [(SEATED, 0, packed(np.zeros_like(contexts), own, v[:0], narrow(c), narrow(ts), still) if last else packed(contexts, own, v, c, ts, still), 0)]
+        out += [(TOLD, at, packed(words[x], now[x], words[:0]), 0) for at, x in parts.items()]
+        return listed(rows.column("part")[0].as_py(), out)
+
+    rows = spread(seats.where(F.col("kind") == SEATED).select("part", "blob"), "part")
+    return rows.groupBy("part").cogroup(told_to(told)).applyInArrow(run, ROWS)
+
+
+def pairs_listed(asked: DataFrame, seats: DataFrame) -> DataFrame:
+    """(part, blob) of all training pairs: contexts, own, words, counts, tables by round."""
 
-    def run(rows: pa.Table, asked: pa.Table) -> pa.Table:
-        contexts, own, v, c, ts = unpacked(rows.column("blob")[0])
-        h, p = asked.column("h").to_numpy().view(np.uint64), asked.column("p").to_numpy()
-        order = np.argsort(h)
-        t, many = ts[-1].copy(), np.flatnonzero(c > 1)
-        if len(many):
-            served = p[order][np.searchsorted(h[order], v[many])]
-            others = np.bincount(own, t, len(contexts)).astype(np.int64)[own[many]] - t[many]
-            t[many] = sweep(c[many], t[many], served, others, PAIR_DISCOUNT, PAIR_STRENGTH, pair_keys(contexts[own[many]], v[many]), seed, 10)
-        return part_rows(rows.column("part")[0].as_py(), (contexts, own, v, c, np.concatenate([ts, t[None]])))
+    def run(questions: pa.Table, state: pa.Table) -> pa.Table:
+        pairs = Counted(questions.column("blob"))
+        _, _, _, _, now, _ = unpacked(state.column("blob")[0])
+        ts = np.ones((len(now), len(pairs.c)), np.int64)
+        ts[:, pairs.c > 1] = now
+        return pa.table([questions.column("part")[:1], pa.array([packed(pairs.contexts, pairs.own, pairs.v, pairs.c, ts)], pa.binary())], names=["part", "blob"])
 
-    wanted = seats.where("blob is null and n > 0").select(F.col("part").alias("wanted_by"), "h").join(words, "h")
-    return seats.where("blob is not null").select("part", "blob").groupBy("part").cogroup(wanted.groupBy("wanted_by")).applyInArrow(run, SEATS)
+    return asked.groupBy("part").cogroup(seats.groupBy("part")).applyInArrow(run, "part int, blob binary")
 
 
 def pair_answers(asked: DataFrame, seats: DataFrame) -> DataFrame:
-    """(block, part, blob) for pair_questions(): each pair's customers and tables by sample, each context's too."""
+    """(block, part, blob) for places asked: each pair's customers and tables by sample, each context's too. seats: (part, blob),
+    with pairs that never move or without."""
 
     def run(questions: pa.Table, state: pa.Table) -> pa.Table:
         blocks, blobs, part = [], [], questions.column("part")[0].as_py()
-        contexts, own, v, c, ts = unpacked(state.column("blob")[0])
-        ts = ts[BURN : BURN + SAMPLES]
-        key = pair_keys(contexts[own], v)
-        order = np.argsort(key)
-        key = key[order]
-        all_c, all_t = np.bincount(own, c, len(contexts)).astype(np.int64), np.array([np.bincount(own, t, len(contexts)) for t in ts]).astype(np.int64)
-
-        def found(known: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(known, wanted), max(0, len(known) - 1))
-            return at, known[at] == wanted if len(known) else np.zeros(len(wanted), bool)
-
+        contexts, own, _, c, ts, *_ = unpacked(state.column("blob")[0])
+        own, ts, c = own[c > 1], ts[BURN : BURN + SAMPLES, c > 1], c[c > 1]
+        all_t = np.array([np.bincount(own, t, len(contexts) + 1) for t in ts]).astype(np.int64)
+        ends = np.tile([0, 1], (len(ts), 1))
+        c, ts = narrow(np.concatenate([[0, 1], c])), narrow(np.concatenate([ends, ts], axis=1))
         for block, blob in zip(questions.column("block").to_pylist(), questions.column("blob")):
-            u, mine, words, _ = unpacked(blob)
-            at, seen = found(key, pair_keys(u[mine], words))
-            at = order[at] if len(order) else at
-            up, known = found(contexts, u)
-            zero = lambda x, at, ok: np.where(ok, x[..., at], 0) if x.shape[-1] else np.zeros((*x.shape[:-1], len(at)), np.int64)
+            place, up, customers, still = unpacked(blob)
             blocks.append(block)
-            blobs.append(packed(zero(c, at, seen), zero(ts, at, seen), zero(all_c, up, known), zero(all_t, up, known)))
+            blobs.append(packed(c[place], ts[:, place], customers, all_t[:, up] + still))
         return pa.table([pa.array(blocks, pa.int64()), pa.array(np.full(len(blocks), part), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "part", "blob"])
 
-    states = seats.where("blob is not null").select("part", "blob")
-    return asked.groupBy("part").cogroup(states.groupBy("part")).applyInArrow(run, "block long, part int, blob binary")
+    return spread(asked, "part").groupBy("part").cogroup(spread(seats.select("part", "blob"), "part").groupBy("part")).applyInArrow(run, "block long, part int, blob binary")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """stash(df), whose shuffle files go when it is written, not when the driver happens to collect its garbage: nothing reads them
+    again."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return stash(df)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 class Model:
-    """answers (key, c, v array), the samples' matrices and numbers of word tables and customers, N and V.
+    """words and letters, the samples' matrices and numbers of word tables and customers, N and V.
 
-    c is a word's count, v its tables in each sample (with order 2 its customers after them), or a letter's or context's
-    probabilities (then c is 0). asked and pairs: pair_questions() and the pairs' seats, with order 2.
+    answers (key, c, v array, with order 2 ns): c is a word's count, v its tables in each sample, ns its customers; or v is a
+    letter's or context's probabilities (then c is 0). stashes: what all of it is read from. words: ROWS of their parts. letters (key, v). asked and seats, with order 2: (part, block, blob) of the blocks' places, (part, blob) of the
+    pairs of two customers or more; pairs: (part, blob) of all pairs, which are counted anew for it.
     """
 
     def __init__(self, blocks: DataFrame, order: int = 1):
-        one = F.array(F.lit(1).cast("long"))
-        state = vocabulary(blocks).select("word", F.lit(0).cast("long").alias("h"), "c", F.col("c").alias("n"), F.lit(0.0).alias("p"), F.array("c").alias("ns"), one.alias("ts"))
-        state = stash(state)
-        types, total = state.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        self.types, self.total, self.asked, self.pairs, self.parts = int(types), int(total), None, None, 0
+        known = kept(vocabulary(blocks))
+        types, total, lone, size = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") == 1, 1)), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+        self.blocks, self.types, self.total, self.asked, self.seats, self.parts = blocks, int(types), int(total), None, None, 0
+        self.word_parts, self.stashes, told = 1 + max(types // WORDS_A_PART, size // BYTES_A_PART), [], None
         if order > 1 and self.total:
             self.parts = max(1, PARTS_A_BLOCK * blocks.count())
-            self.asked = stash(pair_questions(blocks, self.parts))
-            self.pairs = stash(pairs_counted(self.asked))
-            old, state = state, stash(serving(with_digests(state), self.pairs, True))
-            discard(old)
+            told = kept(pairs_counted(pair_questions(blocks, self.parts), self.word_parts))
+            self.asked = kept(told.where(F.col("kind") == ASKED).select("part", F.col("at").alias("block"), "blob"))
+        if self.total:
+            state = kept(words_counted(known, told, self.word_parts))
+            once = kept(state.where(F.col("kind").isin(ONCE, LETTER)))
+            discard(known)
         short, seats, tables, code = Short(), None, self.types, F.col("code")
         self.served, self.tables, self.customers, letters = [], [], [], []
         for r in range(BURN + SAMPLES if self.total else 0):
-            old, state = state, stash(words_seated(state, short.served, self.types, tables, r))
+            last = r == BURN + SAMPLES - 1
+            old, state = state, kept(words_seated(state, told, short.served, self.types, tables, r, last))
             discard(old)
-            last, seats = seats, stash(letter_tables(letter_counts(state), seats, short.served, r))
-            if last is not None and r <= BURN:
-                discard(last)
-            tables = int(seats.where((F.col("kind") == 3) & (code % LETTERS == END)).agg(F.sum("c")).first()[0])  # each spells one end
-            customers = self.total if self.pairs is None else int(state.where("word is not null").agg(F.sum("n")).first()[0])
+            before, seats = seats, kept(letter_tables(letter_counts(state, once), seats, short.served, r))
+            if before is not None and r <= BURN:
+                discard(before)
+            held, customers = state.where(F.col("kind") == SEATED).agg(F.coalesce(F.sum("at"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+            tables, customers = int(held) + lone, int(customers) + lone
             if r >= BURN:
                 letters.append(seats.select("kind", "code", F.lit(r - BURN).alias("i"), "p"))
                 self.served.append(short.served)
                 self.tables.append(tables)
                 self.customers.append(customers)
+                self.stashes.append(seats)
             orders = seats.where("kind = 2").groupBy((code / LETTERS).cast("long") % LETTERS, code % LETTERS).agg(F.sum("t"))
             short.update([tuple(map(int, x)) for x in orders.collect()], r)  # at most 258 * 257
-            if self.pairs is not None and r < BURN + SAMPLES - 1:
-                p = (F.col("n") - WORD_DISCOUNT * F.element_at("ts", -1) + (WORD_STRENGTH + WORD_DISCOUNT * tables) * F.col("p")) / (WORD_STRENGTH + customers)
-                known = state.where("word is not null")
-                old, self.pairs = self.pairs, stash(pairs_seated(self.pairs, known.select("h", p.alias("p")), r))
-                before, state = state, stash(serving(known, self.pairs))
-                discard(old, before)
+            if told is not None and not last:
+                old, told = told, kept(pairs_seated(told, state, WORD_STRENGTH + WORD_DISCOUNT * tables, WORD_STRENGTH + customers, self.word_parts, r, r == BURN + SAMPLES - 2))
+                discard(old)
         if not letters:
             self.served, self.tables, self.customers = [short.served], [0], [0]
-            self.answers = blocks.sparkSession.createDataFrame([], "key binary, c long, v array<float>")
+            self.letters = blocks.sparkSession.createDataFrame([], "key binary, v array<float>")
+            self.words = blocks.sparkSession.createDataFrame([], ROWS)
             return
+        self.stashes += [state, once, *(x for x in (told, self.asked) if x is not None)]
+        self.seats = None if told is None else told.where(F.col("kind") == SEATED).select("part", "blob")
+        self.words = state.where(F.col("kind") == SEATED).unionAll(once.where(F.col("kind") == ONCE))
         rows = letters[0]
         for more in letters[1:]:
             rows = rows.unionAll(more)
         # every sample has the same codes: they are those of the vocabulary
         values = F.array(*(F.max(F.when(F.col("i") == i, F.col("p"))).cast("float") for i in range(SAMPLES)))
-        rows = rows.groupBy("kind", "code").agg(values.alias("v"))
         key = F.concat(F.unhex(F.lpad(F.hex(F.col("kind").cast("long")), 2, "0")), F.unhex(F.lpad(F.hex("code"), 16, "0")))
-        tables, none = F.slice("ts", 2 + BURN, SAMPLES).cast("array<float>"), F.lit(None).cast("array<float>")
-        extra = [F.slice("ns", 2 + BURN, SAMPLES).cast("array<float>").alias("ns")] if self.pairs is not None else []
-        words = state.where("word is not null").select(F.concat(F.unhex(F.lit("00")), "word").alias("key"), "c", tables.alias("v"), *extra)
-        self.answers = words.unionAll(rows.select(key.alias("key"), F.lit(0).cast("long").alias("c"), "v", *(none.alias("ns") for _ in extra)))
+        self.letters = rows.groupBy("kind", "code").agg(values.alias("v")).select(key.alias("key"), "v")
+
+    @property
+    def answers(self) -> DataFrame:
+        """Rows of all words and letters; a report asks for `words` and `letters` apart."""
+        rows = words_listed(self.words).unionAll(self.letters.select("key", F.lit(0).cast("long").alias("c"), "v", F.lit(None).cast("array<float>").alias("ns")))
+        return rows if self.seats is not None else rows.drop("ns")
+
+    @property
+    def pairs(self) -> DataFrame | None:
+        return None if self.seats is None else pairs_listed(pair_questions(self.blocks, self.parts), self.seats)
+
+
+def words_of(kind: int, blob: pa.Scalar) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a row of Model.words, their counts, and tables and customers by sample."""
+    words, *numbers = unpacked(blob)
+    words = parted(words)
+    if kind == ONCE:
+        ones = np.ones((SAMPLES, len(words)), np.int64)
+        return words, ones[0], ones, ones
+    c, _, ns, ts = numbers
+    return words, c, ts[1 + BURN :], ns[1 + BURN :]
+
 
+def words_listed(words: DataFrame) -> DataFrame:
+    """(key, c, v, ns) of Model.words."""
+
+    def longs(rows: np.ndarray) -> pa.Array:
+        rows = np.ascontiguousarray(rows.T, np.float32)
+        return pa.FixedSizeListArray.from_arrays(pa.array(rows.ravel()), rows.shape[1]).cast(pa.list_(pa.float32()))
 
-def with_digests(state: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(1, "h", pa.array(digests(b.column("word").to_pylist()).view(np.int64)))
+            for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob")):
+                words, c, ts, ns = words_of(kind, blob)
+                for lot in lots(words):
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\0" + w for w in words[lot]], pa.binary()), pa.array(c[lot]), longs(ts[:, lot]), longs(ns[:, lot])], ["key", "c", "v", "ns"])
 
-    return mapped(state, run, STATE)
+    return mapped(words.select("kind", "blob"), run, "key binary, c long, v array<float>, ns array<float>")
 
 
-def serving(state: DataFrame, pairs: DataFrame, first: bool = False) -> DataFrame:
-    """state with the tables of pairs as customers; first: also as those that sat there before."""
-    n = pairs.where("blob is null").groupBy("h").agg(F.sum(F.abs("n")).alias("n"))
-    return state.drop("n").join(n, "h").select("word", "h", "c", "n", "p", F.array("n").alias("ns") if first else F.col("ns"), "ts")
+def word_answers(blocks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """(block, part, blob): counts, tables and customers by sample, of a block's words in a part of Model.words, in order."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, blob in zip(b.column("block").to_pylist(), b.column("blob")):
+                block = Block(blob)
+                for part, lot in dealt(part_of(digests(block.words), parts)).items():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([i], pa.int64()), pa.array([packed(joined([block.words[k] for k in lot]))], pa.binary())], ["part", "block", "blob"])
+
+    def run(asked: pa.Table, seats: pa.Table) -> pa.Table:
+        place: dict[bytes, int] = {}
+        none = np.zeros((SAMPLES, 1), np.int64)
+        numbers = [(none[0], none, none)]
+        for kind, blob in zip(seats.column("kind").to_pylist(), seats.column("blob")):
+            mine, *more = words_of(kind, blob)
+            place.update(zip(mine, range(len(place) + 1, len(place) + len(mine) + 1)))
+            numbers.append(more)
+        c, ts, ns = (narrow(np.concatenate(x, axis=-1)) for x in zip(*numbers))
+        blobs = []
+        for blob in asked.column("blob"):
+            at = np.array([place.get(w, 0) for w in parted(*unpacked(blob))], np.int64)
+            blobs.append(packed(c[at], ts[:, at], ns[:, at]))
+        return pa.table([asked.column("block"), asked.column("part"), pa.array(blobs, pa.binary())], names=["block", "part", "blob"])
+
+    asked = spread(mapped(blocks, ask, "part int, block long, blob binary"), "part")
+    return asked.groupBy("part").cogroup(spread(words.select("part", "kind", "blob"), "part").groupBy("part")).applyInArrow(run, "block long, part int, blob binary")
 
 
 def questions(blocks: DataFrame) -> DataFrame:
-    """(block, kind, n, key) of each block's words (kind 0) and letters: n is the place in the block's own list."""
+    """(block, kind, n, key) of each block's letters and contexts: n is the place in the block's own list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, blob in zip(b.column("block").to_pylist(), b.column("blob")):
                 block = Block(blob)
 
-                def rows(kind: int, first: int, keys: list[bytes]) -> pa.RecordBatch:
+                def rows(kind: int, keys: list[bytes]) -> pa.RecordBatch:
                     n = len(keys)
-                    columns = [pa.array(np.full(n, i)), pa.array(np.full(n, kind, np.int8)), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(keys, pa.binary())]
+                    columns = [pa.array(np.full(n, i)), pa.array(np.full(n, kind, np.int8)), pa.array(np.arange(n, dtype=np.int32)), pa.array(keys, pa.binary())]
                     return pa.RecordBatch.from_arrays(columns, ["block", "kind", "n", "key"])
 
-                for lot in block.lots():
-                    yield rows(0, lot.start, [b"\0" + w for w in block.words[lot]])
                 for kind, code in block.codes():
-                    yield rows(kind, 0, key_of(kind, code))
+                    yield rows(kind, key_of(kind, code))
 
     return mapped(blocks, run, "block long, kind tinyint, n int, key binary")
 
@@ -652,21 +862,26 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; scores are log10. order: 1 takes words
     by themselves, 2 after the word before."""
     rows = numbered(docs, key, text)
-    blocks = stash(blocked(rows.withColumn("train", ~held_out("key")), "train"))
+    blocks = kept(blocked(rows.withColumn("train", ~held_out("key")), "train"))
     model = Model(blocks, order)
-    paired, parts, all_customers = model.pairs is not None, model.parts, model.customers
-    answers = questions(blocks).join(model.answers, "key").select("block", "kind", "n", "c", "v", *(["ns"] if paired else []))
+    paired, parts, word_parts, all_customers = model.seats is not None, model.parts, model.word_parts, model.customers
+    answers = questions(blocks).join(model.letters, "key").select("block", "kind", "n", "v", F.lit(None).cast("binary").alias("blob"))
+    packs = [(WORDS, word_answers(blocks, model.words, word_parts))] if model.total else []
     if paired:
-        more = pair_answers(model.asked, model.pairs).select("block", F.lit(100).cast("tinyint").alias("kind"), F.col("part").alias("n"), F.lit(0).cast("long").alias("c"), F.array(*[F.lit(0).cast("float")] * SAMPLES).alias("v"), F.lit(None).cast("array<float>").alias("ns"), "blob")
-        answers = answers.withColumn("blob", F.lit(None).cast("binary")).unionByName(more)
+        packs.append((PAIRS, pair_answers(model.asked, model.seats)))
+    for kind, more in packs:
+        answers = answers.unionAll(more.select("block", F.lit(kind).cast("tinyint"), F.col("part"), F.lit(None).cast("array<float>"), "blob"))
+    answers = kept(answers)
+    discard(*model.stashes)
     served, tables, total, types = model.served, model.tables, model.total, model.types
 
     def run(blob_table: pa.Table, answer_table: pa.Table) -> pa.Table:
         columns: list[list] = [[] for _ in range(5)]
-        kinds = answer_table.column("kind").to_numpy()
-        places = answer_table.column("n").to_numpy()
-        customers = answer_table.column("c").to_numpy()
-        values = answer_table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(kinds), len(served))
+        kinds, places = answer_table.column("kind").to_numpy(), answer_table.column("n").to_numpy()
+        packs = {kind: {n: unpacked(blob) for n, blob in zip(places[kinds == kind].tolist(), answer_table.column("blob").filter(pa.array(kinds == kind)))} for kind in (WORDS, PAIRS)}
+        letters = kinds < WORDS
+        values = answer_table.column("v").filter(pa.array(letters)).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(served))
+        kinds, places = kinds[letters], places[letters]
         for blob in blob_table.column("blob"):
             block = Block(blob)
             codes, found = dict(block.codes()), {}
@@ -676,25 +891,21 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int
                 if len(mine):
                     found[kind][places[mine]] = values[mine]
             words = len(block.words)
-            c, t = np.zeros(words, np.int64), np.zeros((words, len(served)))
-            mine = np.flatnonzero(kinds == 0)
-            if len(mine):
-                c[places[mine]], t[places[mine]] = customers[mine], values[mine]
-            n = np.repeat(c[:, None], len(served), axis=1)
-            if paired:
-                n = np.zeros((words, len(served)))
-                if len(mine):
-                    n[places[mine]] = answer_table.column("ns").combine_chunks().take(pa.array(mine)).flatten().to_numpy().reshape(len(mine), -1)
+            c, (t, n) = np.zeros(words, np.int64), np.zeros((2, len(served), words), np.int64)
+            if packs[WORDS]:
+                for part, lot in dealt(part_of(digests(block.words), word_parts)).items():
+                    if part in packs[WORDS]:
+                        c[lot], t[:, lot], n[:, lot] = packs[WORDS][part]
             p = np.zeros((len(served), words))
             for lot in block.lots():
                 spelling = probabilities(block.words[lot], codes, found, served)
                 for i, (all_tables, customers) in enumerate(zip(tables, all_customers)):
                     new = (WORD_STRENGTH + WORD_DISCOUNT * all_tables) * parent(spelling[i], types)
-                    p[i, lot] = (n[lot, i] - WORD_DISCOUNT * t[lot, i] + new) / (WORD_STRENGTH + customers)
+                    p[i, lot] = (n[i, lot] - WORD_DISCOUNT * t[i, lot] + new) / (WORD_STRENGTH + customers)
             place = block.tokens
             if paired:
                 pairs = Pairs(block, parts)
-                p, place = after(pairs, p, {k: unpacked(blob) for k, blob in zip(places[kinds == 100].tolist(), answer_table.column("blob").filter(pa.array(kinds == 100)))}), pairs.place
+                p, place = after(pairs, p, packs[PAIRS]), pairs.place
             log_p, base = np.log10(p.mean(axis=0)), np.log10((c + 0.1) / (total + 0.1 * (types + 1)))
             starts = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])  # a text has one token at least, its end
             by_text = [np.add.reduceat(x[k], starts) for x, k in (((c > 0).astype(np.int64), block.tokens), (base, block.tokens), (log_p, place))]
