@@ -2,12 +2,14 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 pytest.importorskip("rollcall.llm")
 from rollcall.llm import pitman_yor as py
+from rollcall.sources.shared import shared_dir
 
 SF = "/root/testdata/sf0.001/documents.parquet"
 
@@ -219,27 +221,24 @@ def test_the_order_of_words_counts_and_partitions_do_not(spark):
     assert sum(found[0][i] for i in held) > 0.6 * sum(found[2][i] for i in held)  # log10(3) against log10(40) a word
 
 
-def test_rounds_carry_dishes_that_move_and_leave_nothing_behind(spark, tmp_path):
+def test_rounds_carry_dishes_that_move_and_leave_nothing_behind(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 80) % 3000)) for i in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        out = py.report(docs, order=2)
-        assert len(list(tmp_path.glob("stash-*"))) == 2 and out.count() == 200  # the blocks and their answers
-        train = py.numbered(docs, "doc_id", "text").withColumn("train", ~py.held_out("id"))
-        model = py.Model(py.stash(py.blocked(train, "train")), 2)
-        count, words = Counter(), Counter()
-        for i, t in rows:
-            if zlib.crc32(str(i).encode()) % 10:
-                words.update(tokens(t))
-                count.update(zip(["", *tokens(t)], tokens(t)))
-        seats = [py.unpacked(py.pa.scalar(bytes(r.blob))) for r in model.seats.collect()]
-        assert sorted(n for _, _, _, c, *_ in seats for n in c) == sorted(n for n in count.values() if n > 1)
-        assert sum(int(still.sum()) for *_, still in seats) == sum(n == 1 for n in count.values())
-        found = [(r.kind, py.words_of(r.kind, py.pa.scalar(bytes(r.blob)))) for r in model.words.collect()]
-        assert {w.decode(): int(n) for _, (w_, c, _, _) in found for w, n in zip(w_, c)} == dict(words)
-        assert all((c == 1).all() == (kind == py.ONCE) for kind, (_, c, _, _) in found)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+    stashes = lambda: set(Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")).glob("stash-*"))
+    before = stashes()
+    out = py.report(docs, order=2)
+    assert len(stashes() - before) == 2 and out.count() == 200  # the blocks and their answers
+    train = py.numbered(docs, "doc_id", "text").withColumn("train", ~py.held_out("id"))
+    model = py.Model(py.stash(py.blocked(train, "train")), 2)
+    count, words = Counter(), Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            words.update(tokens(t))
+            count.update(zip(["", *tokens(t)], tokens(t)))
+    seats = [py.unpacked(py.pa.scalar(bytes(r.blob))) for r in model.seats.collect()]
+    assert sorted(n for _, _, _, c, *_ in seats for n in c) == sorted(n for n in count.values() if n > 1)
+    assert sum(int(still.sum()) for *_, still in seats) == sum(n == 1 for n in count.values())
+    found = [(r.kind, py.words_of(r.kind, py.pa.scalar(bytes(r.blob)))) for r in model.words.collect()]
+    assert {w.decode(): int(n) for _, (w_, c, _, _) in found for w, n in zip(w_, c)} == dict(words)
+    assert all((c == 1).all() == (kind == py.ONCE) for kind, (_, c, _, _) in found)
